@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.text import hashes, mix, shingles, words
 
 RADIUS, SIMILARITY, N, MAX_ITEM_BYTES = 3, 0.8, 5, 64 << 20
+CHUNK = 50_000
 
 
 def stride(size: int) -> int:
@@ -34,15 +35,20 @@ def sizes(longest: int) -> list[int]:
     return out
 
 
-def fingerprints(h: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+def totals(h: np.ndarray, n: int) -> np.ndarray:
+    """Running sums of each of the 64 bits over the shingles."""
+    bits = np.unpackbits(mix(shingles(h, n)).view(np.uint8).reshape(-1, 8), axis=1)
+    total = np.zeros((len(bits) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=total[1:])
+    return total
+
+
+def fingerprints(h: np.ndarray, size: int, step: int, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts, 64-bit SimHash) of the windows of `size` words, every `step` words."""
-    n = min(N, size)
     if len(h) < size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    s = mix(shingles(h, n))
-    bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros((len(s) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
+    n = min(N, size)
+    total = totals(h, n) if total is None else total
     k = size - n + 1
     at = np.arange(0, len(h) - size + 1, step)
     return at, np.packbits(2 * (total[at + k] - total[at]) > k, axis=1).view(np.uint64).ravel()
@@ -74,8 +80,18 @@ class Items:
         """item_id: similarity, of the items in the text."""
         h = hashes(words(text, lower=True))
         out: dict[int, float] = {}
+        # a long text goes through in overlapping stretches, so the running sums stay small
+        lap = max((x[2] for x in self.sets), default=0) * 2
+        for lo in range(0, max(1, len(h)), CHUNK):
+            for i, s in self._find(h[lo : lo + CHUNK + lap]).items():
+                out[i] = max(s, out.get(i, 0.0))
+        return out
+
+    def _find(self, h: np.ndarray) -> dict[int, float]:
+        out: dict[int, float] = {}
+        total = totals(h, N) if len(h) >= N else None
         for size, fps in self.fp.items():
-            at, f = fingerprints(h, size, stride(size))
+            at, f = fingerprints(h, size, stride(size), total if size >= N else None)
             if not len(f):
                 continue
             near = np.zeros(len(f), bool)
