@@ -29,3 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label <> old").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")
+
+
+def exact_duplicates(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key and the least key of its group of equal contents (by SHA-256)."""
+    h = rows.select(key, F.sha2(F.col(content), 256).alias("_h"))
+    first = h.groupBy("_h").agg(F.min(key).alias("representative"))
+    return h.join(first, "_h").select(key, "representative")
+
+
+def survivors(members: DataFrame) -> DataFrame:
+    """Per component (node, component, conf, manual): the survivor by each rule, and whether several manual nodes veto a merge."""
+    best = lambda *c: F.max_by("node", F.struct(*c))
+    return members.groupBy("component").agg(
+        best("conf", (-F.col("node")).alias("o")).alias("by_confidence"), F.min("node").alias("by_position"), best("manual", "conf", "node").alias("by_manual"),
+        (F.count(F.when(F.col("manual"), 1)) > 1).alias("vetoed"),
+    )
