@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Hashed word vectors are projected to three dimensions, their Hilbert key orders the documents, and the
+Hashed vectors of token ids are projected to three dimensions, their Hilbert key orders the documents, and the
 stream of their ids in that order is cut at every `size` ids, so only the last sequence has padding.
 Null text is empty (one id, the end mark); a null doc_id is carried; repeated rows are packed each.
 A table without rows gives no pieces.
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.text import hashes, mix, words
+from tallyforge.llm.text import mix
 from tallyforge.sources.tables import written
 
 DIMS, BITS, END = 3, 12, 0
@@ -31,7 +31,7 @@ _PART = re.compile(r"[^\S\x1c-\x1f]*[A-Za-z]+(?=[,.;:!?])|[^\S\x1c-\x1f]*[\S\x1c
 class Parts(dict):
     """part of a text -> its ids as bytes (little-endian unsigned 32-bit), each encoded once; of bounded size."""
 
-    MOST, LONGEST = 400_000, 64
+    MOST, LONGEST = 1_000_000, 64
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -79,13 +79,13 @@ def hilbert(x: list[int], bits: int = BITS) -> int:
     return key
 
 
-def curve_key(text: str | None) -> int:
-    """Key of the text's word vector: each word's hash gives +1 or -1 for each dimension; means are squashed to a grid."""
-    h = hashes(words(text, lower=True))
+def curve_key(ids: bytes) -> int:
+    """Key of the document's hashed vector: each id's hash gives +1 or -1 for each dimension; means are squashed to a grid."""
+    h = np.frombuffer(ids, "<u4")
     if not len(h):
         return 0
-    m = mix(h)
-    v = [float((((m >> np.uint64(d)) & np.uint64(1)).astype(np.int64) * 2 - 1).mean()) for d in range(DIMS)]
+    m = mix(h.astype(np.uint64) + np.uint64(1))
+    v = [2 * np.count_nonzero(m & np.uint64(1 << d)) / len(m) - 1 for d in range(DIMS)]
     return hilbert([min((1 << BITS) - 1, int((np.tanh(2 * a) + 1) / 2 * (1 << BITS))) for a in v])
 
 
@@ -97,9 +97,10 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.iloc[lo : lo + 256]
-                texts = [x or "" for x in part["text"]]
-                ids = [parts.encode(x) + end for x in texts]
-                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "key": [curve_key(x) for x in texts], "n": [len(i) // 4 for i in ids], "ids": ids})
+                ids = [parts.encode(x or "") for x in part["text"]]
+                key = [curve_key(x) for x in ids]
+                ids = [x + end for x in ids]
+                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "key": key, "n": [len(i) // 4 for i in ids], "ids": ids})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInPandas(run, "row long, doc_id long, key long, n long, ids binary")
