@@ -37,13 +37,26 @@ def stems_of(w: str) -> list[str]:
     return [w, *(w[:j] + "*" for j in range(3, min(11, len(w))))]
 
 
-def features(text: str | None, stems: frozenset[str]) -> list[float]:
+class Learned(dict):
+    """word -> whether one of its beginnings was learned; a cache of bounded size."""
+
+    def __init__(self, stems: frozenset[str]):
+        self.stems = stems
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) >= 400_000:
+            self.clear()
+        hit = self[w] = not self.stems.isdisjoint(stems_of(w))
+        return hit
+
+
+def features(text: str | None, stems: Learned) -> list[float]:
     text = text or ""
     ws = tokens(text)
     n = max(1, len(ws))
     insult, second = frozenset(INSULTS), frozenset(SECOND)
     hit = [i for i, w in enumerate(ws) if w in insult or w.translate(_LEET) in insult]
-    learned = sum(not stems.isdisjoint(stems_of(w)) for w in ws)
+    learned = sum(map(stems.__getitem__, ws))
     near = sum(any(v in second for v in ws[max(0, i - 3) : i + 4]) for i in hit)
     obf = sum(any(c in "@$*!013457" for c in w) and any(c.isalpha() for c in w) for w in ws)
     chars = max(1, len(text))
@@ -146,9 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     keep = set(ids["doc_id"].tolist())
 
     def feats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Learned(stems)
         for b in batches:
             b = b[[i in keep for i in b["doc_id"]]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int64"), "x": [features(t, stems) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int64"), "x": [features(t, known) for t in b["text"]]})
 
     f = rows.select("doc_id", "y", "text").mapInPandas(feats, "doc_id long, y long, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     x = np.array(f["x"].tolist(), float).reshape(len(f), -1) if len(f) else np.zeros((0, 12))
@@ -160,8 +174,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     model = fit(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Learned(model.stems)
         for b in batches:
-            s = model.score(np.array([features(t, model.stems) for t in b["text"]], float).reshape(len(b), -1)) if len(b) else np.zeros(0)
+            s = model.score(np.array([features(t, known) for t in b["text"]], float).reshape(len(b), -1)) if len(b) else np.zeros(0)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= threshold).astype("int32")})
 
     out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
