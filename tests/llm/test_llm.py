@@ -184,3 +184,14 @@ def test_licenses(spark):
     texts = ["x\nReleased under the MIT License.", "licensed under the apache license, version 2.0", "this licence talk is of other things altogether", None, "Licensed under CC BY-NC 4.0."]
     got = {(r.doc_id, r.line, r.license, r.exact) for r in licenses.find(docs(spark, texts)).collect()}
     assert got == {(0, 1, "MIT", True), (1, 0, "Apache-2.0", True), (4, 0, "CC-BY-NC-4.0", True)}
+
+
+def test_parts_give_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    whole, parts = Tokenizer.from_file(TOKENIZER), packing.Parts(TOKENIZER)
+    whole.encode_special_tokens = True
+    pick = random.Random(1)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "a", "a,", ".b", "!!", "it's", "'s", "9", "\u00e9", "e\u0301", "<|endoftext|>", "\u4e2d", "\U0001f600", "\x00"]
+    for text in ["", "x" * 500] + ["".join(pick.choices(bits, k=pick.randint(1, 9))) for _ in range(5000)]:
+        assert np.frombuffer(parts.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
