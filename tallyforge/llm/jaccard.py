@@ -1,10 +1,12 @@
 """N-gram Jaccard join by parity sketches.
 
-Every shingle flips one bit of a sketch of m pieces of 64 bits, so sketches differ in at most as many pieces as the
-sets do in shingles. Size bands bound that number by d for every pair that can link; with m = d + 1 a linked pair agrees in
-one piece at least. Equal sets are one class first. In each shared piece the classes are tried with one leader, then those
-still in different components with each other, where a folded sketch's Hamming distance drops what cannot link; the rest is
-verified on whole sets. No words, null text or null id: linked with nothing. Rows of one doc_id count as one document.
+Every shingle is XORed into one of m pieces of 64 bits, so sketches differ in at most as many pieces as the sets do in
+shingles. Size bands bound that number by d for every pair that can link; with m = d + 1 + e a linked pair agrees in e + 1
+pieces at least. So every document may leave out its e most frequent pieces, in an order that all share: the rarest piece that
+two linked documents have in common has e more frequent ones, which both have, and stays in both. Equal sets are one class first.
+In each shared piece the classes are tried with one leader, then those still in different components with each other, where a
+folded sketch's Hamming distance drops what cannot link; the rest is verified on whole sets.
+No words, null text or null id: linked with nothing. Rows of one doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.text import hashes, mix, shingles, words
@@ -36,22 +38,30 @@ def differing(t: int, low: int) -> int:
     return (100 - t) * (low + low * 100 // t) // (100 + t)
 
 
-def sketch(s: np.ndarray, t: int) -> tuple[list[int], list[int]]:
-    """Keys of all pieces (both bands' sketches) and the folded parity sketch of a set."""
+def spare(d: int) -> int:
+    """Pieces beyond d + 1, and how many of its most frequent pieces a document leaves out."""
+    return 1 + d // 4
+
+
+def sketch(s: np.ndarray, t: int) -> tuple[list[list[int]], list[int], list[int]]:
+    """Keys of all pieces and the number to leave out, for either band's sketch, and the folded parity sketch of a set."""
     starts = bands(t, len(s))
     band = len(starts) - 2 if len(starts) > 1 else 0
     m = mix(s)
-    bit = (m & np.uint64(63)).astype(np.int64)
-    keys = []
+    keys, out = [], []
     for k in (band - 1, band):
         if k < 0 or (d := differing(t, starts[k + 1] - 1)) == 0:
             continue
-        piece = ((m >> np.uint64(8)) % np.uint64(d + 1)).astype(np.int64)
-        flips = np.bincount(piece * 64 + bit, minlength=64 * (d + 1)) & 1
-        value = np.packbits(flips.astype(np.uint8)).view(np.uint64)
-        keys.append(mix(mix(value) ^ (np.arange(d + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) ^ (np.uint64(k + 1) << np.uint64(40))))
+        n = d + 1 + spare(d)
+        piece = ((m >> np.uint64(8)) % np.uint64(n)).astype(np.int16 if n < 1 << 15 else np.int64)
+        order = np.argsort(piece, kind="stable")
+        at = np.flatnonzero(np.diff(piece[order], prepend=-1))
+        value = np.zeros(n, np.uint64)
+        value[piece[order[at]]] = np.bitwise_xor.reduceat(m[order], at)
+        keys.append(mix(mix(value) ^ (np.arange(n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) ^ (np.uint64(k + 1) << np.uint64(40))).view(np.int64).tolist())
+        out.append(spare(d))
     fold = np.packbits((np.bincount((m >> np.uint64(44)) % np.uint64(64 * FOLD), minlength=64 * FOLD) & 1).astype(np.uint8)).view(np.int64)
-    return (np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)).tolist(), fold.tolist()
+    return keys, out, fold.tolist()
 
 
 def sketched(docs: DataFrame, n: int, t: int) -> DataFrame:
@@ -60,14 +70,14 @@ def sketched(docs: DataFrame, n: int, t: int) -> DataFrame:
             rows = []
             for i, text in zip(b["doc_id"], b["text"]):
                 s = np.unique(shingles(hashes(words(text, lower=True)), n))
-                keys, fold = sketch(s, t) if len(s) else ([], [0] * FOLD)
+                keys, out, fold = sketch(s, t) if len(s) else ([], [], [0] * FOLD)
                 with np.errstate(over="ignore"):
                     f1, f2 = int(mix(s).sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(977)))) if len(s) else 0
-                rows.append((i, len(s), f1, f2 - (1 << 64) if f2 >= 1 << 63 else f2, keys, fold))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "keys", "fold"])
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((i, len(s), f1, f2 - (1 << 64) if f2 >= 1 << 63 else f2, keys, out, fold))
+            frame = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "keys", "spare", "fold"])
+            yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, fold array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<array<long>>, spare array<int>, fold array<long>")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -94,9 +104,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
     real = sk.where("n > 0 and doc_id is not null")
     classes = written(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sk.join(classes.select("rep", "f1", "f2"), (F.col("doc_id") == F.col("rep")) & (sk.f1 == classes.f1) & (sk.f2 == classes.f2), "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    keyed = written(reps.select(F.col("doc_id").alias("rep"), "n", "fold", F.explode("keys").alias("key")).select("rep", "key"), "keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    keyed = written(keyed.join(shared, "key"), "shared-keys")
+    lists = reps.select(F.col("doc_id").alias("rep"), F.posexplode(F.arrays_zip("keys", "spare")).alias("slot", "x"))
+    every = lists.select("rep", "slot", F.col("x.spare").alias("spare"), F.explode("x.keys").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = every.join(written(shared, "shared-keys"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("rep", "slot").orderBy(F.desc("c"), "key")))
+    keyed = written(ranked.where("rank > spare").select("rep", "key", "c"), "keys")
     weight = keyed.groupBy("rep").agg(F.sum("c").alias("w"))
     weighted = keyed.join(weight, "rep")
     leader = weighted.groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("lead"))
