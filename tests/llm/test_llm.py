@@ -186,12 +186,12 @@ def test_licenses(spark):
     assert got == {(0, 1, "MIT", True), (1, 0, "Apache-2.0", True), (4, 0, "CC-BY-NC-4.0", True)}
 
 
-def test_parts_give_the_ids_of_the_whole_text():
+def test_encoder_gives_the_tokenizer_s_ids():
     from tokenizers import Tokenizer
 
-    whole, parts = Tokenizer.from_file(TOKENIZER), packing.Parts(TOKENIZER)
+    whole, own = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
     whole.encode_special_tokens = True
     pick = random.Random(1)
     bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "a", "a,", ".b", "!!", "it's", "'s", "9", "\u00e9", "e\u0301", "<|endoftext|>", "\u4e2d", "\U0001f600", "\x00"]
-    for text in ["", "x" * 500] + ["".join(pick.choices(bits, k=pick.randint(1, 9))) for _ in range(5000)]:
-        assert np.frombuffer(parts.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    for text in ["", "x" * 500, "a" * 100_000, " " * 100_000, "\n" * 100_000 + "b"] + [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}  {chr(c)}" for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000] + ["".join(pick.choices(bits, k=pick.randint(1, 9))) for _ in range(5000)]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
