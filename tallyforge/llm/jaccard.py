@@ -40,15 +40,15 @@ def differing(t: int, low: int) -> int:
 
 def spare(d: int) -> int:
     """Pieces beyond d + 1, and how many of its most frequent pieces a document leaves out."""
-    return 1 + d // 4
+    return 1 + d // 8
 
 
-def sketch(s: np.ndarray, t: int) -> tuple[list[list[int]], list[int], list[int]]:
-    """Keys of all pieces and the number to leave out, for either band's sketch, and the folded parity sketch of a set."""
+def sketch(s: np.ndarray, t: int) -> tuple[list[int], list[int], list[int]]:
+    """Keys of all pieces of both bands' sketches, the lowest bit the band's parity; the number to leave out by that bit; the folded parity sketch."""
     starts = bands(t, len(s))
     band = len(starts) - 2 if len(starts) > 1 else 0
     m = mix(s)
-    keys, out = [], []
+    keys, out = [], [0, 0]
     for k in (band - 1, band):
         if k < 0 or (d := differing(t, starts[k + 1] - 1)) == 0:
             continue
@@ -58,8 +58,9 @@ def sketch(s: np.ndarray, t: int) -> tuple[list[list[int]], list[int], list[int]
         at = np.flatnonzero(np.diff(piece[order], prepend=-1))
         value = np.zeros(n, np.uint64)
         value[piece[order[at]]] = np.bitwise_xor.reduceat(m[order], at)
-        keys.append(mix(mix(value) ^ (np.arange(n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) ^ (np.uint64(k + 1) << np.uint64(40))).view(np.int64).tolist())
-        out.append(spare(d))
+        key = mix(mix(value) ^ (np.arange(n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) ^ (np.uint64(k + 1) << np.uint64(40)))
+        keys += (key & ~np.uint64(1) | np.uint64(k & 1)).view(np.int64).tolist()
+        out[k & 1] = spare(d)
     fold = np.packbits((np.bincount((m >> np.uint64(44)) % np.uint64(64 * FOLD), minlength=64 * FOLD) & 1).astype(np.uint8)).view(np.int64)
     return keys, out, fold.tolist()
 
@@ -70,14 +71,14 @@ def sketched(docs: DataFrame, n: int, t: int) -> DataFrame:
             rows = []
             for i, text in zip(b["doc_id"], b["text"]):
                 s = np.unique(shingles(hashes(words(text, lower=True)), n))
-                keys, out, fold = sketch(s, t) if len(s) else ([], [], [0] * FOLD)
+                keys, out, fold = sketch(s, t) if len(s) else ([], [0, 0], [0] * FOLD)
                 with np.errstate(over="ignore"):
                     f1, f2 = int(mix(s).sum().view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(mix(s ^ np.uint64(977)))) if len(s) else 0
                 rows.append((i, len(s), f1, f2 - (1 << 64) if f2 >= 1 << 63 else f2, keys, out, fold))
             frame = pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "keys", "spare", "fold"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<array<long>>, spare array<int>, fold array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, spare array<int>, fold array<long>")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -103,12 +104,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
     sk = written(sketched(docs, n, t), "sketches")
     real = sk.where("n > 0 and doc_id is not null")
     classes = written(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sk.join(classes.select("rep", "f1", "f2"), (F.col("doc_id") == F.col("rep")) & (sk.f1 == classes.f1) & (sk.f2 == classes.f2), "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    lists = reps.select(F.col("doc_id").alias("rep"), F.posexplode(F.arrays_zip("keys", "spare")).alias("slot", "x"))
-    every = lists.select("rep", "slot", F.col("x.spare").alias("spare"), F.explode("x.keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = every.join(written(shared, "shared-keys"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("rep", "slot").orderBy(F.desc("c"), "key")))
-    keyed = written(ranked.where("rank > spare").select("rep", "key", "c"), "keys")
+    # few rows as a rule: a table of known size, so Catalyst broadcasts it while it is small and else joins by shuffle
+    copies = written(real.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id", "f1", "f2", "rep").distinct(), "copies")
+    reps = real.join(copies.select("doc_id", "f1"), ["doc_id", "f1"], "left_anti")
+    every = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared-keys")
+    info = written(reps.select(F.col("doc_id").alias("rep"), "n", "fold", "spare").distinct(), "reps")
+    # rows of one id with different texts: the least number leaves out no piece that a row needs
+    least = info.groupBy("rep").agg(F.array(F.min(F.get("spare", F.lit(0))), F.min(F.get("spare", F.lit(1)))).alias("spare"))
+    met = every.join(shared, "key").distinct().join(least, "rep").withColumn("bit", F.col("key").bitwiseAND(1).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("rep", "bit").orderBy(F.desc("c"), "key"))
+    keyed = written(met.withColumn("rank", rank).where(F.col("rank") > F.get("spare", F.col("bit"))).select("rep", "key", "c"), "keys")
     weight = keyed.groupBy("rep").agg(F.sum("c").alias("w"))
     weighted = keyed.join(weight, "rep")
     leader = weighted.groupBy("key").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("lead"))
@@ -117,7 +123,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
     comp = connected_components(links)
     open_ = keyed.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    info = reps.select(F.col("doc_id").alias("rep"), "n", "fold")
     rest = written(open_.join(mixed, "key", "left_semi").join(info, "rep"), "open")
     a, b = rest.alias("a"), rest.alias("b")
     apart = sum((F.bit_count(F.get("a.fold", F.lit(k)).bitwiseXOR(F.get("b.fold", F.lit(k)))) for k in range(FOLD)), F.lit(0))
@@ -125,6 +130,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, t: int = 90) -> DataFrame:
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & can).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     more = verified(written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), docs, n, t)
     # rows of one id are one document: their classes are linked through it
-    own = real.join(classes, ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    own = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = connected_components(links.union(more).union(own))
     return sk.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
