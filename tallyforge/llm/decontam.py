@@ -1,16 +1,16 @@
-"""Benchmark decontamination by SimHash windows.
+"""Benchmark decontamination by windows one shingle wide, where a SimHash is the shingle's hash.
 
-Each item has a window size: the largest of a geometric series that fits it with a stride to spare. The
-item's own windows of that size at every offset are fingerprinted (64 bits over five-word shingles); texts are
-windowed at the stride, so a whole copy always holds one window equal to one of the item's. Fingerprints within RADIUS are found
-by RADIUS + 1 Hamming blocks, one of which must agree; the candidates' multiset Jaccard of five-word shingles, taken at the item's
-place in the text, must reach SIMILARITY. The benchmark is broadcast only below MAX_ITEM_BYTES, else the query fails and says so.
+A span of a text holds an item if the multiset Jaccard of their five-word shingles reaches SIMILARITY; the span may be of any length,
+so added and lost words count as well as replaced ones. Such a span lacks at most k - ceil(SIMILARITY k) of an item's k shingles, so one
+more than that, the rarest in the benchmark, are the item's windows: at least one is in the text unedited, and no copy is missed but by
+the hash. Around a window that is met, the best span is found. The benchmark is broadcast only below MAX_ITEM_BYTES, else the query fails and says so.
 Null texts and items have no words and match nothing; items of under five words match as one shingle; repeated rows give a row each.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,99 +18,96 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.text import hashes, mix, shingles, words
-
-RADIUS, SIMILARITY, N, MAX_ITEM_BYTES = 3, 0.8, 5, 64 << 20
-CHUNK = 50_000
-
-
-def stride(size: int) -> int:
-    return max(1, size // 8)
-
-
-def sizes(longest: int) -> list[int]:
-    out = [1]
-    while out[-1] < longest:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
-    return out
-
-
-def totals(h: np.ndarray, n: int) -> np.ndarray:
-    """Running sums of each of the 64 bits over the shingles."""
-    bits = np.unpackbits(mix(shingles(h, n)).view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    return total
-
-
-def fingerprints(h: np.ndarray, size: int, step: int, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, 64-bit SimHash) of the windows of `size` words, every `step` words."""
-    if len(h) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    n = min(N, size)
-    total = totals(h, n) if total is None else total
-    k = size - n + 1
-    at = np.arange(0, len(h) - size + 1, step)
-    return at, np.packbits(2 * (total[at + k] - total[at]) > k, axis=1).view(np.uint64).ravel()
+from tallyforge.llm.text import hashes, shingles, words
+
+SIMILARITY, N, MAX_ITEM_BYTES = 0.8, 5, 64 << 20
+
+
+def best(text: np.ndarray, item: np.ndarray) -> float:
+    """The greatest multiset Jaccard of a span of `text` with `item`, both as shingles; 0 if it is below SIMILARITY."""
+    values, bag = np.unique(item, return_counts=True)
+    longest = math.floor(len(item) / SIMILARITY + 1e-9)
+    k = np.minimum(np.searchsorted(values, text), len(values) - 1)
+    ours = values[k] == text
+    if ours.sum() < SIMILARITY * len(item) - 1e-9:
+        return 0.0
+    # before[q]: from which start on q still counts, as its value isn't used up; where the text isn't the item's, never
+    before = np.where(ours, -1, len(text))
+    spare = np.ones(len(text), bool)
+    at = np.flatnonzero(ours)
+    at = at[np.argsort(k[at], kind="stable")]
+    lo = np.searchsorted(k[at], np.arange(len(values) + 1))
+    for v in np.flatnonzero(np.diff(lo) > bag):
+        q = at[lo[v] : lo[v + 1]]
+        before[q[bag[v] :]] = q[: -bag[v]]
+        spare[q] = False
+    top = 0.0
+    # a span that could grow to the left by a shingle that counts isn't the best
+    for s in np.flatnonzero(ours & ~np.r_[False, (ours & spare)[:-1]]):
+        both = np.cumsum(before[s : s + longest] < s)
+        top = max(top, float((both / (np.arange(1, len(both) + 1) + len(item) - both)).max()))
+        if top == 1:
+            break
+    return top if top >= SIMILARITY else 0.0
+
+
+class Windows:
+    """The items' windows of one length: sorted shingles with the items of each."""
+
+    def __init__(self, pairs: list[tuple[np.ndarray, int]]):
+        value, item = np.concatenate([v for v, _ in pairs]), np.concatenate([np.full(len(v), i) for v, i in pairs])
+        order = np.argsort(value, kind="stable")
+        self.items = item[order]
+        self.values, self.first = np.unique(value[order], return_index=True)
+        self.first = np.append(self.first, len(value))
+        # a bit table leaves out most of a text before the search
+        self.mask = np.uint64((1 << max(16, len(value).bit_length() + 4)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[self.values & self.mask] = True
+
+    def meet(self, text: np.ndarray) -> dict[int, list[int]]:
+        """item: places in the text where one of its windows is."""
+        out: dict[int, list[int]] = defaultdict(list)
+        for p in np.flatnonzero(self.table[text & self.mask]).tolist():
+            k = np.searchsorted(self.values, text[p])
+            if k < len(self.values) and self.values[k] == text[p]:
+                for j in self.items[self.first[k] : self.first[k + 1]].tolist():
+                    out[j].append(p)
+        return out
 
 
 class Items:
     def __init__(self, rows: list[tuple[int, str]]):
-        self.sets: list[tuple[int, Counter, int]] = []
-        self.by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # size: (fingerprint, item, offset)
-        hs = [(i, hashes(words(t, lower=True))) for i, t in rows]
-        series = sizes(max((len(h) for _, h in hs), default=1))
-        for i, h in hs:
-            if not len(h):
-                continue
-            size = max(s for s in series if s + stride(s) - 1 <= len(h))
-            self.sets.append((i, Counter(shingles(h, N).tolist()), len(h)))
-            at, fp = fingerprints(h, size, 1)
-            self.by[size] += [(int(f), len(self.sets) - 1, int(a)) for a, f in zip(at, fp)]
-        self.fp = {s: np.array([x[0] for x in v], np.uint64) for s, v in self.by.items()}
-        self.blocks = {s: [self._table(f, b) for b in range(RADIUS + 1)] for s, f in self.fp.items()}
-
-    @staticmethod
-    def _table(f: np.ndarray, b: int) -> np.ndarray:
-        t = np.zeros(1 << 16, bool)
-        t[(f >> np.uint64(16 * b)) & np.uint64(0xFFFF)] = True
-        return t
+        hs = [(i, h) for i, t in rows if len(h := hashes(words(t, lower=True)))]
+        self.ids = [i for i, _ in hs]
+        self.sets = [shingles(h, N) for _, h in hs]
+        known, often = np.unique(np.concatenate([*self.sets, np.empty(0, np.uint64)]), return_counts=True)
+        by: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for j, (_, h) in enumerate(hs):
+            x = self.sets[j]
+            rare = x[np.argsort(often[np.searchsorted(known, x)], kind="stable")]
+            by[min(N, len(h))].append((np.unique(rare[: len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1]), j))
+        self.windows = {n: Windows(pairs) for n, pairs in by.items()}
 
     def find(self, text: str | None) -> dict[int, float]:
         """item_id: similarity, of the items in the text."""
         h = hashes(words(text, lower=True))
         out: dict[int, float] = {}
-        # a long text goes through in overlapping stretches, so the running sums stay small
-        lap = max((x[2] for x in self.sets), default=0) * 2
-        for lo in range(0, max(1, len(h)), CHUNK):
-            for i, s in self._find(h[lo : lo + CHUNK + lap]).items():
-                out[i] = max(s, out.get(i, 0.0))
-        return out
-
-    def _find(self, h: np.ndarray) -> dict[int, float]:
-        out: dict[int, float] = {}
-        total = totals(h, N) if len(h) >= N else None
-        for size, fps in self.fp.items():
-            at, f = fingerprints(h, size, stride(size), total if size >= N else None)
-            if not len(f):
+        for n, windows in self.windows.items():
+            if len(h) < n:
                 continue
-            near = np.zeros(len(f), bool)
-            for b, t in enumerate(self.blocks[size]):
-                near |= t[(f >> np.uint64(16 * b)) & np.uint64(0xFFFF)]
-            tried = set()
-            for a, x in zip(at[near].tolist(), f[near]):
-                for k in np.flatnonzero(np.bitwise_count(fps ^ x) <= RADIUS):
-                    _, j, off = self.by[size][k]
-                    start = max(0, a - off)
-                    if (j, start) in tried:
-                        continue
-                    tried.add((j, start))
-                    item, bag, n = self.sets[j]
-                    own = Counter(shingles(h[start : start + n], min(N, n)).tolist())
-                    both = sum((own & bag).values())
-                    sim = both / (sum(own.values()) + sum(bag.values()) - both)
-                    if sim >= SIMILARITY:
-                        out[item] = max(sim, out.get(item, 0.0))
+            x = shingles(h, n)
+            for j, places in windows.meet(x).items():
+                item, reach = self.sets[j], math.floor(len(self.sets[j]) / SIMILARITY + 1e-9)
+                top, k = 0.0, 0
+                while k < len(places) and top < 1:
+                    lo, hi = max(0, places[k] - reach + 1), places[k] + reach
+                    while k < len(places) and places[k] - reach < hi:
+                        hi = places[k] + reach
+                        k += 1
+                    top = max(top, best(x[lo:hi], item))
+                if top:
+                    out[self.ids[j]] = max(top, out.get(self.ids[j], 0.0))
         return out
 
 
