@@ -1,10 +1,10 @@
 """Main text by a site style tree.
 
-The DOMs of one host are merged by their style paths (tags with class, id and role). Of each path and wording the number of
-pages that have it is counted; a wording's importance is 1 - log(pages that have it) / log(pages of the host), and a
-style node's importance the mean over its wordings. Per page, leaf blocks under a node of low importance go, and so do branches whose tag or
-class says that they aren't the article. Null html is empty; equal pages are judged alike but by the node, so copies stay; hosts with
-under MIN_PAGES pages are judged by tags and classes alone; a null url is a host of its own. An empty table gives an empty one.
+The DOMs of one host are merged by their style paths (tags with class, id and role); blocks that a tag or class marks as noise go in any case.
+A page is known by its other blocks, so copies count once, whatever their ids, urls, scripts or noise. A wording at a path that c of the host's
+m distinct pages have is spread evenly over them, so its entropy is log(c) / log(m) and its importance 1 less that; a leaf element's importance is the mean
+over its wordings. Leaves of low importance go. Hosts of fewer than PAGES distinct pages are judged by tags and classes alone.
+Null html is empty; a null url is a host of its own. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.sources.tables import written
 
-MIN_PAGES, LEAST = 20, 0.5
+PAGES, LEAST = 20, 0.5
 # fixed values: HTML's element kinds
 RAW = "script style textarea title noscript template iframe".split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -98,34 +98,39 @@ def blocks(html: str | None) -> list[tuple[str, bool, str]]:
     return out
 
 
+def ids(path: str, text: str) -> tuple[int, int]:
+    """Of the leaf element, and of the wording there."""
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63), xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
+
+
+def main_text(found: list[tuple[str, bool, str]], low: set[int]) -> str:
+    return "\n".join(t for p, noise, t in found if not noise and ids(p, t)[0] not in low)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [blocks(h) for h in b["html"]]
-            yield pd.DataFrame({
-                "row": b["row"], "path": [[x[0] for x in g] for g in got], "h": [[xxhash.xxh3_64_intdigest(x[2]) - (1 << 63) for x in g] for g in got],
-            })
+            got = [[ids(p, t) for p, noise, t in blocks(h) if not noise] for h in b["html"]]
+            key = [xxhash.xxh3_64_intdigest(",".join(str(w) for _, w in g)) - (1 << 63) for g in got]
+            got = [sorted(set(g)) for g in got]
+            yield pd.DataFrame({"host": b["host"], "page": key, "path": [[x[0] for x in g] for g in got], "wording": [[x[1] for x in g] for g in got]})
 
-    rows = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
-    # a page is known by its content here, so exact copies of a page count once
-    site = rows.select("row", host.alias("host"), "html").dropDuplicates(["row"])
-    parsed = written(site.mapInPandas(lambda it: (pd.concat([p.assign(host=b["host"].to_numpy()) for p in parse([b])]) for b in it), "row long, path array<string>, h array<long>, host string"), "dom")
-    leaf = parsed.select("host", F.explode(F.array_distinct(F.arrays_zip("path", "h"))).alias("x")).select("host", "x.path", "x.h")
-    count = leaf.groupBy("host", "path", "h").agg(F.count("*").alias("c"))
-    total = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {MIN_PAGES}")
-    node = count.join(total, "host").groupBy("host", "path").agg(F.avg(1 - F.log("c") / F.log("m")).alias("importance"))
-    # low nodes of a host: a set of style paths, one row per host
-    low = written(node.where(F.col("importance") < LEAST).groupBy("host").agg(F.collect_set("path").alias("low")), "style-tree")
+    sited = pages.select("page_id", "url", "html", host.alias("host"))
+    parsed = written(sited.select("host", "html").mapInPandas(parse, "host string, page long, path array<long>, wording array<long>").dropDuplicates(["host", "page"]), "dom")
+    leaf = parsed.select("host", F.explode(F.arrays_zip("path", "wording")).alias("x")).select("host", "x.path", "x.wording")
+    count = leaf.groupBy("host", "path", "wording").agg(F.count("*").alias("c"))
+    total = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {PAGES}")
+    # the mean of 1 - log(c) / log(m); m comes in when there is a row per path
+    node = count.groupBy("host", "path").agg(F.avg(F.log("c")).alias("spread")).where("spread > 0").withColumnRenamed("path", "id")
+    # one row per host: the ids of its low elements
+    low = written(node.join(total, "host").where(1 - F.col("spread") / F.log("m") < LEAST).groupBy("host").agg(F.collect_set("id").alias("low")), "style-tree")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = []
-            for h, gone in zip(b["html"], b["low"]):
-                gone = set() if gone is None else set(gone)
-                text.append("\n".join(t for p, noise, t in blocks(h) if not noise and p not in gone))
+            text = [main_text(blocks(h), set() if gone is None else set(gone)) for h, gone in zip(b["html"], b["low"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}).astype({"page_id": "Int64"})
 
-    return pages.select("page_id", "url", "html", host.alias("host")).join(low, "host", "left").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+    return sited.join(low, "host", "left").select("page_id", "url", "html", "low").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
