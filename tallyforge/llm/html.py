@@ -3,7 +3,9 @@
 The DOMs of one host are merged by their style paths (tags with class, id and role); blocks that a tag or class marks as noise go in any case.
 A page is known by its other blocks, so copies count once, whatever their ids, urls, scripts or noise. A wording at a path that c of the host's
 m distinct pages have is spread evenly over them, so its entropy is log(c) / log(m) and its importance 1 less that; a leaf element's importance is the mean
-over its wordings. Leaves of low importance go. Hosts of fewer than PAGES distinct pages are judged by tags and classes alone.
+over its wordings. Leaves of low importance go, and so do wordings of low importance under elements that stay. (In a style tree a branch is noise
+if all of it is low, so leaves decide what text stays.) If less than LEFT of a page's text would stay, the page is a near copy
+rather than an article among boilerplate, and all of it stays. Hosts of fewer than PAGES distinct pages show no repetition that isn't a copy.
 Null html is empty; a null url is a host of its own. An empty table gives an empty one.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.sources.tables import written
 
-PAGES, LEAST = 20, 0.5
+PAGES, LEAST, LEFT = 3, 0.5, 0.25
 # fixed values: HTML's element kinds
 RAW = "script style textarea title noscript template iframe".split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -104,7 +106,12 @@ def ids(path: str, text: str) -> tuple[int, int]:
 
 
 def main_text(found: list[tuple[str, bool, str]], low: set[int]) -> str:
-    return "\n".join(t for p, noise, t in found if not noise and ids(p, t)[0] not in low)
+    own = [(p, t) for p, noise, t in found if not noise]
+    if low:
+        stay = [(p, t) for p, t in own if low.isdisjoint(ids(p, t))]
+        if sum(len(t) for _, t in stay) >= LEFT * sum(len(t) for _, t in own):
+            own = stay
+    return "\n".join(t for _, t in own)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -123,10 +130,11 @@ def extract(pages: DataFrame) -> DataFrame:
     leaf = parsed.select("host", F.explode(F.arrays_zip("path", "wording")).alias("x")).select("host", "x.path", "x.wording")
     count = leaf.groupBy("host", "path", "wording").agg(F.count("*").alias("c"))
     total = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {PAGES}")
-    # the mean of 1 - log(c) / log(m); m comes in when there is a row per path
+    # the mean of 1 - log(c) / log(m); m comes in when there is a row per path, or of wordings those on several pages
     node = count.groupBy("host", "path").agg(F.avg(F.log("c")).alias("spread")).where("spread > 0").withColumnRenamed("path", "id")
-    # one row per host: the ids of its low elements
-    low = written(node.join(total, "host").where(1 - F.col("spread") / F.log("m") < LEAST).groupBy("host").agg(F.collect_set("id").alias("low")), "style-tree")
+    both = node.unionByName(count.where("c > 1").select("host", F.col("wording").alias("id"), F.log("c").alias("spread")))
+    # one row per host: the ids of its low elements and wordings
+    low = written(both.join(total, "host").where(1 - F.col("spread") / F.log("m") < LEAST).groupBy("host").agg(F.collect_set("id").alias("low")), "style-tree")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

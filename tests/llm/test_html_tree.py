@@ -1,4 +1,4 @@
-"""The style tree on a host of copies."""
+"""The style tree on hosts of copies, small hosts and notices among an article's paragraphs."""
 
 import random
 
@@ -23,4 +23,28 @@ def test_copies_of_few_articles_stay(spark):
     rng = random.Random(8)
     articles = [[prose(rng, 12) for _ in range(4)] for _ in range(5)]
     got = texts(spark, [(k, f"http://copies/{k}", page(0 if k % 2 else k, articles[k % 5])) for k in range(1000)])
-    assert all(got[k].startswith("\n".join(articles[k % 5])) for k in range(1000))
+    assert all(got[k] == "\n".join(articles[k % 5]) for k in range(1000))
+
+
+def test_notice_goes_on_hosts_of_any_size(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for n in (3, 4, 19, 20, 40):
+        for k in range(n):
+            article = [prose(rng, 12) for _ in range(4)]
+            want[100 * n + k] = "\n".join(article)
+            rows.append((100 * n + k, f"http://host{n}/{k}", page(k, article)))
+    assert texts(spark, rows) == want
+
+
+def test_near_copies_stay(spark):
+    rng = random.Random(10)
+    article = [prose(rng, 12) for _ in range(9)]
+    rows, want = [], {}
+    for n in (2, 3, 30):
+        for k in range(n):
+            own = article[:4] + [prose(rng, 12)] + article[5:]
+            want[100 * n + k] = own
+            rows.append((100 * n + k, f"http://near{n}/{k}", page(k, own)))
+    got = texts(spark, rows)
+    assert all(got[k].startswith("\n".join(own)) for k, own in want.items())
