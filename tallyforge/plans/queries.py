@@ -118,6 +118,12 @@ def expand_quantity(spark, d):
     return inventory.expand(li).withColumnRenamed("copy_index", "copy")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, i AS copy FROM (SELECT *, unnest(range(1, CAST(l_quantity AS BIGINT) + 1)) AS i FROM lineitem)")
+def expand_quantity_whole(spark, d):
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    return inventory.expand(li).withColumnRenamed("copy_index", "copy")
+
+
 @query(f"WITH {ITEMS} SELECT kind, name, quality, level, min(instance_id) AS instance_id, count(*) AS quantity FROM items GROUP BY 1, 2, 3, 4")
 def merge_identical(spark, d):
     return inventory.merge_identical(A.items(spark, d).withColumn("quantity", F.lit(1).cast("long")))
