@@ -45,3 +45,95 @@ def hue_distance(a: Column, b: Column) -> Column:
 
 def safe_file_name(text: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|\x00-\x1f]', " "), r"\s+", " ")), F.lit(48))
+
+
+def strict_level_text(text: Column) -> Column:
+    """Whether a text is just a level from 1 to 60 with its suffix."""
+    return text.rlike(r"^(?:[1-9]|[1-5][0-9]|60)[级級]$")
+
+
+def digits_text(text: Column) -> Column:
+    """Letter O read as 0, white space gone."""
+    return F.regexp_replace(F.translate(text, "Oo", "00"), r"\s+", "")
+
+
+def count_text(text: Column, digits: int = 6) -> Column:
+    """A whole text of 1 to `digits` digits."""
+    return F.when(text.rlike(rf"^[0-9]{{1,{digits}}}$"), text.try_cast("int"))
+
+
+def bag_fraction(text: Column) -> Column:
+    """struct<current, capacity> of 'n/m', at most four digits each, with n <= m; else NULL."""
+    t = F.translate(text, "Oo", "00")
+    n, m = (F.regexp_extract(t, r"(?<![0-9])([0-9]{1,4})\s*[/／]\s*([0-9]{1,4})(?![0-9])", k).try_cast("int") for k in (1, 2))
+    return F.when(n <= m, F.struct(n.alias("current"), m.alias("capacity")))
+
+
+def position(text: Column) -> Column:
+    """struct<row, column> from 0 of 'r{n}c{m}', which counts from 1."""
+    n, m = (F.regexp_extract(text, r"^r([0-9]{1,9})c([0-9]{1,9})$", k).try_cast("int") - 1 for k in (1, 2))
+    return F.when(n.isNotNull() & m.isNotNull(), F.struct(n.alias("row"), m.alias("column")))
+
+
+def file_name(text: Column, fallback: str = "account", most: int = 48) -> Column:
+    """Forbidden characters become "_", runs of white space one space; the trimmed text is cut, and the fallback if it is empty."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r'[\\/:*?"<>|\x00-\x1f]', "_"), r"\s+", " ")
+    t = F.left(F.trim(t), F.lit(most))
+    return F.when(t == "", fallback).otherwise(t)
+
+
+def by_hue(hue: Column, share: Column, centres: dict[str, int], within: int = 19, least: float = 0.34) -> Column:
+    """The name whose hue (0..179, a circle) is nearest, if it is near enough and covers enough; ties go to the first."""
+    best = F.array_min(F.array(*[F.struct(hue_distance(hue, F.lit(c)).alias("d"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, (n, c) in enumerate(centres.items())]))
+    return F.when((best["d"] <= within) & (share >= least), best["n"])
+
+
+def confidence_bucket(conf: Column) -> Column:
+    """Percent in steps: below 50, 65, 80, 90, and above."""
+    return F.when(conf.isNull(), "unknown").when(conf < 50, "<50").when(conf < 65, "50-65").when(conf < 80, "65-80").when(conf < 90, "80-90").otherwise(">=90")
+
+
+def layout(width: Column, height: Column) -> Column:
+    """Profile by aspect ratio, in integers."""
+    return F.when(100 * width >= 200 * height, "wide").when(100 * width >= 150 * height, "standard").when(100 * width >= 100 * height, "tall_tablet").otherwise("portrait")
+
+
+def page_kind(scores: dict[str, Column]) -> Column:
+    """The page type with the most points; none, or a tie for the first place, is unknown."""
+    every = F.array(*[F.struct(v.cast("int").alias("s"), F.lit(k).alias("k")) for k, v in scores.items()])
+    top = F.array_max(F.transform(every, lambda x: x.s))
+    winners = F.filter(every, lambda x: x.s == top)
+    return F.when((top > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))["k"]).otherwise("unknown")
+
+
+def display_width(text: Column) -> Column:
+    """Columns on a screen: two for wide characters, one for others."""
+    return F.char_length(text) + F.regexp_count(text, F.lit(r"[ᄀ-ᅟ⺀-〾ぁ-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"))
+
+
+def label(code: Column, labels: dict[str, str], other: str) -> Column:
+    """A code's label; unknown codes in snake case get a general text, anything else stays as it is."""
+    out = F.when(code.rlike(r"^[a-z]+(?:_[a-z]+)+$"), other).otherwise(code)
+    for k, v in labels.items():
+        out = F.when(code == k, v).otherwise(out)
+    return out
+
+
+def finite(value: Column) -> Column:
+    """NaN and infinities aren't safe in JSON."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def uuid5(text: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """RFC 4122 version 5 id (default namespace: URL)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "utf-8")))
+    fourth = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), fourth, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def with_defaults(record: Column, defaults: dict[str, Column]) -> Column:
+    """A struct whose absent fields are filled."""
+    for k, v in defaults.items():
+        record = record.withField(k, F.coalesce(record[k], v))
+    return record

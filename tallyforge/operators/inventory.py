@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.parse import uuid5
+from tallyforge.sources.tables import written
+
 #: Named orders; idx is the catalog position.
 ORDERS = {
     "default": ["kind", "-level", "idx", "name", "quality"],
@@ -39,18 +42,27 @@ def catalog(items: DataFrame) -> DataFrame:
     return items.select("name").distinct().withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
 
 
-def ranked(items: DataFrame, order: str) -> DataFrame:
-    """instance_id and its position in a named order, without one global sort task.
+def numbered(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) in the order of keys, without one global sort task.
 
-    Kinds are few, so positions come from a range sort: the rows of each range block are counted, then numbered within the block.
+    The rows of each range block are counted, then numbered within the block. The blocks are written first, as both uses must see the same bounds.
     """
+    block = written(rows.repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()), "range-blocks")
+    sums = block.groupBy("_block").agg(F.count("*").alias("_n"))
+    # one row per block
+    before = sums.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(*keys))
+    return block.withColumn("_own", own).join(F.broadcast(before), "_block").withColumn(name, F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")
+
+
+def ordered(rows: DataFrame, keys: list[str]) -> list[Column]:
+    return [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in keys]
+
+
+def ranked(items: DataFrame, order: str) -> DataFrame:
+    """instance_id and its position in a named order."""
     x = items.join(catalog(items), "name")
-    keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in ORDERS[order] + STABLE]
-    block = x.repartitionByRange(*keys).withColumn("block", F.spark_partition_id())
-    sums = block.groupBy("block").agg(F.count("*").alias("n"))
-    before = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("block").orderBy(*keys))
-    return block.withColumn("own", own).join(F.broadcast(before), "block").select("instance_id", (F.col("before") + F.col("own")).alias("pos"))
+    return numbered(x, ordered(x, ORDERS[order] + STABLE), "pos").select("instance_id", "pos")
 
 
 def summary(items: DataFrame, shown: Column) -> DataFrame:
@@ -76,3 +88,10 @@ def merge_identical(items: DataFrame) -> DataFrame:
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def instances(items: DataFrame) -> DataFrame:
+    """One row per unit: the first keeps the id, the others get the version 5 id of "id:index"."""
+    x = items.where("quantity >= 1").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("quantity").cast("int") - 1)))
+    name = F.concat(F.col("id"), F.lit(":"), F.col("copy").cast("string"))
+    return x.withColumn("id", F.when(F.col("copy") == 0, F.col("id")).otherwise(uuid5(name))).drop("quantity")

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows an image can have, and so the longest alignment.
-MOST_ROWS = 5
-
-
 def full_rows(cells: DataFrame) -> DataFrame:
     """One row per grid row with all four columns, and its cells in column order."""
     cell = F.struct("c", "name", "level")
@@ -30,10 +26,78 @@ def align(cells: DataFrame, rule: str) -> DataFrame:
         return F.struct(F.exists(z, lambda q: q.bad).alias("bad"), F.forall(z, lambda q: q.same).alias("same"))
 
     def valid(n):
-        z = F.zip_with(F.slice("rows", -n, n), F.slice("next", 1, n), row)
+        z = F.zip_with(F.slice("rows", F.size("rows") - n + 1, n), F.slice("next", F.lit(1), n), row)
         clean, anchor, equal = ~F.exists(z, lambda q: q.bad), F.exists(z, lambda q: q.same), F.forall(z, lambda q: q.same)
-        ok = {"browser": clean & anchor, "rebuild": clean, "strict": equal}[rule]
-        return F.when((F.size("rows") >= n) & (F.size("next") >= n) & ok, F.lit(n).cast("long"))
+        return {"browser": clean & anchor, "rebuild": clean, "strict": equal}[rule]
+
+    # every length that both images have
+    lengths = F.filter(F.sequence(F.lit(1), F.least(F.size("rows"), F.size("next"))), valid)
+    return p.select("user_id", "k", F.array_max(lengths).cast("long").alias("len")).where("len is not null")
+
+
+def identified_rows(cells: DataFrame, names: int = 2) -> DataFrame:
+    """Full rows in which at least `names` cells have a confirmed name: (user_id, k, r, cells), cells of (c, name, level, quality)."""
+    cell = F.struct("c", "name", "level", "quality")
+    rows = cells.groupBy("user_id", "k", "r").agg(F.count_distinct("c").alias("w"), F.count("name").alias("known"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    return rows.where(f"w = 4 and known >= {names}").select("user_id", "k", "r", "cells")
+
+
+def continuous(rows: DataFrame) -> DataFrame:
+    """Per image its rows without a gap in r: `suffix` from the last row up, `prefix` from the first down, both in order."""
+    all_ = F.sort_array(F.collect_list(F.struct("r", "cells")))
+    x = rows.groupBy("user_id", "k").agg(all_.alias("rows"))
+    # a row belongs to the prefix if its number less its place is the first's, to the suffix if it is the last's
+    step = F.transform("rows", lambda v, i: v.r - i)
+    x = x.withColumn("_s", step)
+    pick = lambda which: F.filter("rows", lambda v, i: F.get("_s", i) == which)
+    return x.select("user_id", "k", pick(F.get("_s", F.lit(0))).alias("prefix"), pick(F.element_at("_s", -1)).alias("suffix"))
+
+
+def row_verdict(a, b):
+    """How two rows of four cells compare: a known name, level or quality that differs is no overlap; all names and levels known and equal confirm it;
+    two agreements, two of them names, leave it pending; else the rows say nothing."""
+
+    def cell(x, y):
+        name, level, quality = (x[f].isNotNull() & y[f].isNotNull() for f in ("name", "level", "quality"))
+        differ = (name & (x["name"] != y["name"])) | (level & (x["level"] != y["level"])) | (quality & (x["quality"] != y["quality"]))
+        return F.struct(F.coalesce(differ, F.lit(False)).alias("differ"), name.alias("name"), level.alias("level"))
+
+    z = F.zip_with(a, b, cell)
+    count = lambda f: F.size(F.filter(z, f))
+    names, levels = count(lambda q: q["name"]), count(lambda q: q["level"])
+    return F.when(F.exists(z, lambda q: q["differ"]), "no_overlap").when((names == 4) & (levels == 4), "confirmed").when((names + levels >= 2) & (names >= 2), "pending").otherwise("ignored")
+
+
+def align_targeted(cells: DataFrame) -> DataFrame:
+    """(user_id, k, len, confirmed): the longest end of image k that is the start of image k + 1, over continuous identified rows.
+
+    It has at least one confirmed row and none that differs or says nothing.
+    """
+    image = continuous(identified_rows(cells))
+    after = image.select("user_id", (F.col("k") - 1).alias("k"), F.col("prefix").alias("next"))
+    p = image.select("user_id", "k", F.col("suffix").alias("rows")).join(after, ["user_id", "k"])
+
+    def verdicts(n):
+        return F.zip_with(F.slice("rows", F.size("rows") - n + 1, n), F.slice("next", F.lit(1), n), lambda x, y: row_verdict(x.cells, y.cells))
+
+    def valid(n):
+        v = verdicts(n)
+        return ~F.exists(v, lambda q: q.isin("no_overlap", "ignored")) & F.exists(v, lambda q: q == "confirmed")
+
+    best = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.size("rows"), F.size("next"))), valid))
+    x = p.withColumn("len", best).where("len is not null")
+    return x.select("user_id", "k", F.col("len").cast("long").alias("len"), F.size(F.filter(verdicts(F.col("len")), lambda q: q == "confirmed")).cast("long").alias("confirmed"))
+
+
+def directed_pairs(pairs: DataFrame, pools: DataFrame) -> DataFrame:
+    """(pair, before, after): the valid ones among pairs of images: both of one confirmed pool, not itself, and the first of those that repeat it either way."""
+    a, b = pools.select(F.col("image").alias("before"), F.col("pool").alias("_p")), pools.select(F.col("image").alias("after"), F.col("pool").alias("_q"))
+    x = pairs.join(a, "before").join(b, "after").where("_p = _q and _p in ('main', 'support') and before <> after")
+    first = x.groupBy(F.least("before", "after").alias("lo"), F.greatest("before", "after").alias("hi")).agg(F.min("pair").alias("pair"))
+    return x.join(first, "pair", "left_semi").select("pair", "before", "after", F.col("_p").alias("pool"))
+
 
-    best = F.coalesce(*[valid(n) for n in range(MOST_ROWS, 0, -1)])
-    return p.select("user_id", "k", best.alias("len")).where("len is not null")
+def edge_direction(matches: DataFrame) -> DataFrame:
+    """(a, b, offset): the image that is further up comes first; no offset, no edge."""
+    up = F.col("offset") < 0
+    return matches.where("offset <> 0").select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("after"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.parse import round_up
@@ -45,3 +45,28 @@ def gap(required: DataFrame, stock: DataFrame, orange: int, purple: int, white:
     out = stock.select("stock", owned.alias("owned")).join(F.broadcast(required), F.lit(True), "left")
     g = F.when(F.col("owned").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("required") - F.col("owned")))
     return out.select("stock", "required", "owned", g.alias("gap"), F.floor((g + (run_yield - 1)) / run_yield).alias("runs"))
+
+
+def mismatches(costs: DataFrame, detail: DataFrame) -> DataFrame:
+    """Levels whose cached detail differs from the cost table."""
+    x = costs.join(detail.select("level", F.col("exp").alias("_d")), "level")
+    return x.where("exp <> _d").select("level", "exp", F.lit(True).alias("differs"))
+
+
+def repair(targets: DataFrame, items: DataFrame, most: int = 60) -> DataFrame:
+    """Targets of items that are there, from 1 to `most`, and not below the level."""
+    x = targets.where(F.col("target").between(1, most)).join(items.select("instance_id", "level"), "instance_id")
+    return x.select("instance_id", F.greatest("target", "level").cast("int").alias("target"))
+
+
+def stage_runs(gaps: DataFrame, run_yield: int, cost: int) -> DataFrame:
+    """Runs that close a gap, and the stamina they take; unknown gaps stay unknown."""
+    runs = F.expr(f"(gap + {run_yield - 1}) div {run_yield}")
+    return gaps.withColumn("runs", runs).withColumn("stamina", (F.col("runs") * cost).cast("long"))
+
+
+def scope(items: DataFrame, selected: Column, shown: Column) -> DataFrame:
+    """The selected rows if there are any, else the shown ones, else all."""
+    n = items.agg(F.count(F.when(selected, 1)).alias("_s"), F.count(F.when(shown, 1)).alias("_f"))
+    x = items.join(F.broadcast(n), F.lit(True), "left")  # one row
+    return x.where(F.when(F.col("_s") > 0, selected).when(F.col("_f") > 0, shown).otherwise(True)).drop("_s", "_f")

@@ -34,3 +34,11 @@ def rebuild(items: DataFrame, evidence: DataFrame) -> DataFrame:
     manual = items.join(evidence, "instance_id", "left_anti").select("instance_id", "level", F.lit(True).alias("manual"))
     built = items.select("instance_id").join(evidence, "instance_id").select("instance_id", F.col("target").alias("level"), F.lit(False).alias("manual"))
     return manual.unionByName(built)
+
+
+def override(rows: DataFrame, hand: DataFrame, key: str, field: str) -> DataFrame:
+    """Rows with what was set by hand (key, value as text): "unknown" clears the field, NULL leaves it."""
+    x = rows.join(hand.select(key, F.col("value").alias("_v")), key, "left")
+    kind = dict(rows.dtypes)[field]
+    value = F.when(F.col("_v") == "unknown", F.lit(None)).when(F.col("_v").isNotNull(), F.col("_v").try_cast(kind)).otherwise(F.col(field))
+    return x.withColumn(field, value).withColumn("manual", F.coalesce(F.col("_v").isNotNull() & (F.col("_v") != "unknown"), F.lit(False))).drop("_v")

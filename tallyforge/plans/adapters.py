@@ -50,3 +50,40 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 def edges(aligned: DataFrame) -> DataFrame:
     a = F.col("user_id") * 1000 + F.col("k")
     return aligned.select(a.alias("a"), (a + 1).alias("b"))
+
+
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """One observed card per event: an image per user, cells in the order of time, unknown values by modulus."""
+    e = F.col("event_id")
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    x = load(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts").withColumn("rn", rn)
+    case = lambda n, *v: F.element_at(F.array(*[F.lit(s) for s in v]), (n + 1).cast("int"))
+    return x.select(
+        e.alias("occ_id"), F.col("user_id").alias("image"), F.col("rn").cast("long").alias("ord"), F.expr("cast(rn div 4 as int)").alias("r"), (F.col("rn") % 4).cast("int").alias("c"),
+        (e % 11 != 0).alias("complete"), F.when(e % 37 != 0, F.col("event_type")).alias("name"), F.when(e % 23 != 0, 1 + F.floor("value").cast("int") % 12).alias("level"),
+        F.when(e % 29 != 0, (e % 4).cast("int")).alias("quality"), (40 + e % 60).cast("int").alias("conf"),
+        F.when(e % 13 == 0, "exclude_fragment").when(e % 13 == 1, "ignore").otherwise("keep").alias("action"), (e % 17 == 0).alias("duplicate"), (e % 19 == 0).alias("manual"),
+        case(e % 3, "equipped", "unequipped", "unknown").alias("equipped"), case(F.col("user_id") % 5, "main", "support", "experience", "unknown", None).alias("pool"),
+    )
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of overlapping images as cards: an event in two images is a card in each; id 2 e in the earlier image, 2 e + 1 in the later."""
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = load(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts").withColumn("rn", rn)
+    k = F.expr("cast(rn div 12 as int)")
+    e = e.withColumn("k", F.explode(F.when((F.col("rn") >= 12) & (F.col("rn") % 12 < 8), F.array(k - 1, k)).otherwise(F.array(k))))
+    at, v = F.col("rn") - 12 * F.col("k"), F.col("event_id")
+    later = (F.col("k") == F.expr("cast(rn div 12 as int)")).cast("long")
+    return e.select(
+        "user_id", F.col("k").cast("long").alias("k"), F.floor(at / 4).cast("int").alias("r"), (at % 4).cast("int").alias("c"), "event_id", (2 * v + later).alias("card"),
+        F.when(v % 37 != 0, F.col("event_type")).alias("name"), F.when(v % 31 != 0, 1 + F.floor("value").cast("int") % 60).alias("level"), F.when(v % 29 != 0, (v % 4).cast("int")).alias("quality"),
+        ((v % 43 != 0) | (later == 1)).alias("complete"), (v % 41 == 0).alias("review"),
+    )
+
+
+def relations(cards_: DataFrame) -> DataFrame:
+    """(user_id, k, relation, lhs, rhs, status): what two images that share an event say of its cards."""
+    b = cards_.groupBy("user_id", "event_id").agg(F.min("k").alias("k"), F.min("card").alias("lhs"), F.max("card").alias("rhs"), F.count("*").alias("n")).where("n = 2")
+    e = F.col("event_id")
+    return b.select("user_id", "k", e.alias("relation"), "lhs", "rhs", F.when(e % 7 == 0, "possible_duplicate").when(e % 7 == 1, "ambiguous").otherwise("duplicate").alias("status"))

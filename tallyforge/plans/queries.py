@@ -5,30 +5,14 @@ Queries are thin: adapters map a driver table into the observation schemas, oper
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
 from tallyforge.operators import components, consensus, inventory, overlap, planning, reconcile, sequence
 from tallyforge.plans import adapters as A
+from tallyforge.plans.registry import ORACLE_SQL, QUERIES, query
 from tallyforge.sources.tables import load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 LEVELS = "lv AS (SELECT i AS level, CASE WHEN i <= 30 THEN 100 * i ELSE 4000 END AS xp FROM (SELECT unnest(range(1, 61)) AS i))"
 COSTS = "cum AS (SELECT level, CAST(coalesce(sum(xp) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cost FROM lv)"
 ITEMS = """items AS (SELECT p_partkey AS instance_id, CASE WHEN p_partkey % 3 = 0 THEN 'support' ELSE 'main' END AS kind, p_name AS name, CAST(p_size AS INT) AS level,
@@ -272,3 +256,7 @@ _L = "'lv ' || CAST(l_linenumber AS VARCHAR) || 'O级'"
 def parse_levels(spark, d):
     li = load(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"))
     return li.select("l_linenumber", parse.level(F.concat(F.lit("lv "), F.col("l_linenumber").cast("string"), F.lit("O级"))).alias("level"), "n")
+
+
+# the other queries register themselves
+from tallyforge.plans import cards, entities, scalars  # noqa: E402, F401

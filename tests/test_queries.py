@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(rows):
-    return sorted(([None if v is None else float(v) if isinstance(v, (int, float)) else str(v) for v in r] for r in rows), key=str)
+    return sorted(([None if v is None else v if isinstance(v, int) else round(v, 9) if isinstance(v, float) else str(v) for v in r] for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", QUERIES)
