@@ -11,16 +11,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.text import hashes, shingles, words
+from tallyforge.llm.text import mapped, shingles, word_hashes
 
-SIMILARITY, N, MAX_ITEM_BYTES = 0.8, 5, 64 << 20
+SIMILARITY, N, MAX_ITEM_BYTES = 0.8, 5, 16 << 20
 
 
 def best(text: np.ndarray, item: np.ndarray) -> float:
@@ -78,7 +76,7 @@ class Windows:
 
 class Items:
     def __init__(self, rows: list[tuple[int, str]]):
-        hs = [(i, h) for i, t in rows if len(h := hashes(words(t, lower=True)))]
+        hs = [(i, h) for i, t in rows if len(h := word_hashes(t, lower=True))]
         self.ids = [i for i, _ in hs]
         self.sets = [shingles(h, N) for _, h in hs]
         known, often = np.unique(np.concatenate([*self.sets, np.empty(0, np.uint64)]), return_counts=True)
@@ -91,7 +89,7 @@ class Items:
 
     def find(self, text: str | None) -> dict[int, float]:
         """item_id: similarity, of the items in the text."""
-        h = hashes(words(text, lower=True))
+        h = word_hashes(text, lower=True)
         out: dict[int, float] = {}
         for n, windows in self.windows.items():
             if len(h) < n:
@@ -111,32 +109,45 @@ class Items:
         return out
 
 
-def load_items(benchmark: DataFrame) -> Items:
-    b = benchmark.where("item_id is not null and text is not null")
+def load_items(benchmark: DataFrame) -> list:
+    """Broadcasts of Items, each of about MAX_ITEM_BYTES of text at most."""
+    b = benchmark.where("text is not null").select("item_id", "text")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; decontaminate in parts of at most {MAX_ITEM_BYTES}")
-    return Items([(r.item_id, r.text) for r in b.select("item_id", "text").orderBy("item_id").toLocalIterator()])
+    parts = max(1, math.ceil(2 * size / MAX_ITEM_BYTES)) if size > MAX_ITEM_BYTES else 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    each = ([(r.item_id, r.text) for r in b.where(part == k).orderBy("item_id", "text").toLocalIterator()] for k in range(parts))
+    return [benchmark.sparkSession.sparkContext.broadcast(Items(rows)) for rows in each]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity) of each item that a document holds."""
-    items = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, s) for d, t in zip(b["doc_id"], b["text"]) for i, s in sorted(items.value.find(t).items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity"]).astype({"doc_id": "Int64", "item_id": "Int64", "similarity": "float64"})
+    def maker(items):
+        def make():
+            def work(texts):
+                found = [(k, i, s) for k, t in enumerate(texts) for i, s in items.value.find(t).items()]
+                return [x[0] for x in found], [[x[1] for x in found], [x[2] for x in found]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, similarity double")
+            return work
+
+        return make
+
+    out = [mapped(docs, maker(items), "item_id long, similarity double") for items in load_items(benchmark)]
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no item; columns as they were."""
-    items, schema = docs.sparkSession.sparkContext.broadcast(load_items(benchmark)), docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[not items.value.find(t) for t in b["text"]]]
+    def maker(items):
+        def make():
+            return lambda texts: ([k for k, t in enumerate(texts) if not items.value.find(t)], [])
+
+        return make
 
-    return docs.mapInPandas(run, schema)
+    for items in load_items(benchmark):
+        docs = mapped(docs, maker(items), "", keep=docs.columns)
+    return docs
