@@ -169,17 +169,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs(spark, ["a"]), labels.limit(0)).collect()} == {0.0}
 
 
-def test_lm_prefers_its_target(spark):
-    rng = random.Random(5)
-    texts = ["".join(rng.choices(a, k=400)) for a in ("abc", "abc", "abxyz")] + [None, ""]
-    target = spark.createDataFrame([(0,), (0,)], "doc_id long")
-    got = {r.doc_id: r for r in lm.score(docs(spark, texts), target).collect()}
-    assert got[1].difference < 0 < got[2].difference and got[3].n_tokens == 0
-    counts = Counter(t[k : k + 3] for t in texts if t for k in range(len(t) - 2))
-    have = {r.gram: r.b for r in lm.counts(docs(spark, texts), target).collect()}
-    assert have == {int.from_bytes(k.encode()): v for k, v in counts.items()}
-
-
 def test_licenses(spark):
     texts = ["x\nReleased under the MIT License.", "licensed under the apache license, version 2.0", "this licence talk is of other things altogether", None, "Licensed under CC BY-NC 4.0."]
     got = {(r.doc_id, r.line, r.license, r.exact) for r in licenses.find(docs(spark, texts)).collect()}
