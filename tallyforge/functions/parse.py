@@ -137,3 +137,26 @@ def with_defaults(record: Column, defaults: dict[str, Column]) -> Column:
     for k, v in defaults.items():
         record = record.withField(k, F.coalesce(record[k], v))
     return record
+
+
+def name_exit(known: Column, conf: Column, least: int) -> Column:
+    """A known name of enough confidence needs no further variant."""
+    return known & (conf >= least)
+
+
+def agreement_exit(a: Column, b: Column) -> Column:
+    """Two variants that say the same need no third."""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def merge_tokens(rows, key: str, order: list[str], token: str):
+    """The tokens of a line as one normalised text, in their order; a line has few tokens."""
+    parts = F.sort_array(F.collect_list(F.struct(*order, digits_text(F.col(token)).alias("_t"))))
+    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["_t"]), "").alias("text"))
+
+
+def page_by_names(rows, key: str):
+    """The page type whose names an image shows more of; equal numbers say nothing."""
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    g = rows.groupBy(key).agg(n("main").alias("_a"), n("support").alias("_b"))
+    return g.select(key, F.when(F.col("_a") > F.col("_b"), "main").when(F.col("_b") > F.col("_a"), "support").otherwise("unknown").alias("page"))

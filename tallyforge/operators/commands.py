@@ -68,3 +68,36 @@ def sticky(values: DataFrame, key: str) -> DataFrame:
     """(key, value, manual): the greatest manual value stays whatever is resolved anew; without one, the least resolved value."""
     g = values.groupBy(key).agg(F.max(F.when(F.col("manual"), F.col("value"))).alias("_m"), F.min("value").alias("_v"))
     return g.select(key, F.coalesce("_m", "_v").alias("value"), F.col("_m").isNotNull().alias("manual"))
+
+
+def cancel_rest(images: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Images of a task from the cancelled place on are cancelled; those before keep their state."""
+    x = images.join(cancelled, "task", "left")
+    return x.withColumn("status", F.when(F.col("pos") >= F.col("at"), "cancelled").otherwise(F.col("status"))).drop("at")
+
+
+def retryable(images: DataFrame) -> DataFrame:
+    """The import queue: a failed image may be tried again, an unknown pool waits for its user, the others make up the job in their order."""
+    s = F.when(F.col("failed"), "retry").when(F.coalesce("pool", F.lit("unknown")) == "unknown", "waiting").otherwise("job")
+    return images.withColumn("queue", s)
+
+
+def move_slot(loadouts: DataFrame, moves: DataFrame, held: DataFrame) -> DataFrame:
+    """(operator, slot, instance) wishes: an instance that another slot holds isn't taken from it; a NULL clears the slot."""
+    h = held.select("instance", F.col("operator").alias("_o"), F.col("slot").alias("_s"))
+    x = moves.join(h, "instance", "left")
+    taken = F.col("_o").isNotNull() & ~((F.col("_o") == F.col("operator")) & (F.col("_s") == F.col("slot")))
+    return x.select("operator", "slot", "instance", F.when(F.col("instance").isNull(), "cleared").when(taken, "occupied").otherwise("set").alias("outcome"))
+
+
+def snapshot_faults(items: DataFrame, catalog: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per item the codes of what a snapshot must not have: ids twice, levels out of range, names of another kind, targets below the level."""
+    twice = items.groupBy("instance").agg((F.count("*") > 1).alias("_twice"))
+    x = items.join(twice, "instance").join(catalog.select("name", F.col("kind").alias("_k")), "name", "left").join(targets, "instance", "left")
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("_twice"), "duplicate_id"), F.when(~F.coalesce(F.col("level").between(1, 60), F.lit(False)), "level_out_of_range"),
+            F.when(F.col("_k").isNull(), "unknown_name").when(F.col("_k") != F.col("kind"), "kind_mismatch"), F.when(F.col("target") < F.col("level"), "target_below_level"),
+        )
+    )
+    return x.select("instance", codes.alias("codes"))

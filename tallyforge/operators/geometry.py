@@ -95,3 +95,12 @@ def edge_fragments(boxes: DataFrame, width: int = 4) -> DataFrame:
     g = boxes.groupBy("image", "r").agg(F.bool_or("at_edge").alias("any"), (F.max(top) - F.min(top)).alias("t"), (F.max(low) - F.min(low)).alias("l"), F.count("*").alias("n"), F.greatest(F.lit(2.0), 0.25 * F.median("rad")).alias("tol"))
     x = boxes.join(g, ["image", "r"])
     return x.select("image", "id", (F.col("at_edge") | ((F.col("n") == width) & F.col("any") & (F.col("t") <= F.col("tol")) & (F.col("l") <= F.col("tol")))).alias("excluded"))
+
+
+def pixel_statistics(pixels: DataFrame, width: int) -> DataFrame:
+    """(image, v): the entropy in bits of v in bins of `width`, the number of bins, and the median."""
+    h = pixels.groupBy("image", F.floor(F.col("v") / width).alias("bin")).agg(F.count("*").alias("n"))
+    # -sum(n/t log2(n/t)) = log2(t) - sum(n log2(n)) / t
+    g = h.groupBy("image").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.count("*").alias("bins"))
+    m = pixels.groupBy("image").agg(F.median("v").alias("median"))
+    return g.join(m, "image").select("image", (F.round(F.log2("t") - F.col("s") / F.col("t"), 6) + 0.0).alias("entropy"), "bins", "median")

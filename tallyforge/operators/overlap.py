@@ -101,3 +101,43 @@ def edge_direction(matches: DataFrame) -> DataFrame:
     """(a, b, offset): the image that is further up comes first; no offset, no edge."""
     up = F.col("offset") < 0
     return matches.where("offset <> 0").select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("after"))
+
+
+def unordered_pairs(images: DataFrame) -> DataFrame:
+    """All pairs of images of one pool that can hold items, within one batch: a batch is what a user uploads at once."""
+    a = images.where("pool in ('main', 'support')")
+    b = a.select("batch", "pool", F.col("image").alias("other"))
+    return a.join(b, ["batch", "pool"]).where("image < other").select("batch", "image", "other")
+
+
+def image_order(images: DataFrame, edges: DataFrame) -> DataFrame:
+    """(batch, image), (batch, before, after) -> the place of each image, and whether its batch's edges contradict each other.
+
+    Of the images that nothing left precedes, the least id is next; a batch with a cycle is in the order of ids. A batch is what a user uploads
+    at once, and its order is sequential, so each batch is one group.
+    """
+    rows = images.select("batch", "image", F.lit(None).cast("long").alias("after")).unionByName(edges.select("batch", F.col("before").alias("image"), "after"))
+
+    def order(pdf):
+        import heapq
+
+        import pandas as pd
+
+        ids = sorted(set(pdf.loc[pdf["after"].isna(), "image"]))
+        links = {(int(a), int(b)) for a, b in zip(pdf["image"], pdf["after"]) if b == b}
+        into, out = dict.fromkeys(ids, 0), {i: [] for i in ids}
+        for a, b in links:
+            out[a].append(b)
+            into[b] += 1
+        free, done = [i for i in ids if not into[i]], []
+        while free:
+            i = heapq.heappop(free)
+            done.append(i)
+            for b in out[i]:
+                into[b] -= 1
+                if not into[b]:
+                    heapq.heappush(free, b)
+        conflict = len(done) < len(ids)
+        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "image": ids if conflict else done, "pos": range(1, len(ids) + 1), "conflict": conflict})
+
+    return rows.groupBy("batch").applyInPandas(order, "batch long, image long, pos long, conflict boolean")

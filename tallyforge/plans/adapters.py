@@ -48,7 +48,8 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(aligned: DataFrame) -> DataFrame:
-    a = F.col("user_id") * 1000 + F.col("k")
+    # an image number is below the factor, so no two users share a node
+    a = F.col("user_id") * 1_000_000_000 + F.col("k")
     return aligned.select(a.alias("a"), (a + 1).alias("b"))
 
 

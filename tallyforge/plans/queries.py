@@ -201,7 +201,7 @@ def exact_duplicates(spark, d):
     return components.exact_duplicates(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-EDGES = f"{CELLS}, al AS (SELECT user_id, k, max(len) AS len FROM agg WHERE bad = 0 AND anchors > 0 GROUP BY 1, 2), ch AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS run FROM al), comp AS (SELECT user_id, k, user_id * 1000 + min(k) OVER (PARTITION BY user_id, run) AS component FROM ch), nodes AS (SELECT user_id * 1000 + k AS node, component FROM comp UNION SELECT user_id * 1000 + k + 1, component FROM comp)"
+EDGES = f"{CELLS}, al AS (SELECT user_id, k, max(len) AS len FROM agg WHERE bad = 0 AND anchors > 0 GROUP BY 1, 2), ch AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS run FROM al), comp AS (SELECT user_id, k, user_id * 1000000000 + min(k) OVER (PARTITION BY user_id, run) AS component FROM ch), nodes AS (SELECT user_id * 1000000000 + k AS node, component FROM comp UNION SELECT user_id * 1000000000 + k + 1, component FROM comp)"
 
 
 @query(f"WITH {EDGES} SELECT CAST(node AS BIGINT) AS node, CAST(component AS BIGINT) AS component FROM nodes")
@@ -209,7 +209,7 @@ def overlap_components(spark, d):
     return components.connected_components(A.edges(overlap.align(A.cells(spark, d), "browser")))
 
 
-@query(f"WITH {EDGES}, n AS (SELECT node, component, node * 7919 % 100 AS conf, node % 11 = 0 AS manual FROM nodes) SELECT CAST(component AS BIGINT) AS component, CAST(arg_max(node, conf * 1000000000 - node) AS BIGINT) AS by_confidence, CAST(min(node) AS BIGINT) AS by_position, CAST(arg_max(node, CAST(manual AS INT) * 100000000000000 + conf * 1000000000000 + node) AS BIGINT) AS by_manual, count(CASE WHEN manual THEN 1 END) > 1 AS vetoed FROM n GROUP BY 1")
+@query(f"WITH {EDGES}, n AS (SELECT node, component, node * 7919 % 100 AS conf, node % 11 = 0 AS manual FROM nodes) SELECT CAST(component AS BIGINT) AS component, CAST(arg_max(node, conf * 1000000000000000 - node) AS BIGINT) AS by_confidence, CAST(min(node) AS BIGINT) AS by_position, CAST(arg_max(node, CAST(manual AS BIGINT) * 1000000000000000000 + conf * 1000000000000000 + node) AS BIGINT) AS by_manual, count(CASE WHEN manual THEN 1 END) > 1 AS vetoed FROM n GROUP BY 1")
 def component_survivors(spark, d):
     c = components.connected_components(A.edges(overlap.align(A.cells(spark, d), "browser")))
     return components.survivors(c.withColumn("conf", F.col("node") * 7919 % 100).withColumn("manual", F.col("node") % 11 == 0))
@@ -259,4 +259,4 @@ def parse_levels(spark, d):
 
 
 # the other queries register themselves
-from tallyforge.plans import cards, entities, scalars  # noqa: E402, F401
+from tallyforge.plans import cards, commands, entities, scalars  # noqa: E402, F401

@@ -1 +1 @@
-
+"""Structured Streaming views: progress of tasks, and coalesced saves."""
