@@ -29,7 +29,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(load(spark, sf_dir, "documents"), TOKENIZER, special=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
