@@ -3,7 +3,8 @@
 Every three consecutive lines are one window, known by two 64-bit hashes. Of a window that occurs
 more than once anywhere, the first occurrence (least doc_id, then position) stays; lines that any later
 occurrence covers go. Texts of under three lines, null texts and null ids are left as they are; repeated
-rows of one id and text share one fate. Extra columns are kept; an empty table gives an empty one.
+rows of one id and text share one fate, rows of one id with other texts are told apart by a hash of the text. Texts may be of any length;
+extra columns are kept, but for n_lines and n_removed, which are made anew; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ WINDOW = 3
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, p) of every later occurrence of a repeated window.
+    """(doc_id, h, p) of every later occurrence of a repeated window; h is the hash of the text, so rows of one id with other texts are told apart.
 
     The first occurrence is a partial aggregate, so a window in a third of all rows is one row per task there;
     the join back is a plain equi-join, whose hot side adaptive execution splits.
     """
     lines = F.split("text", "\n", -1)
-    h = docs.where("doc_id is not null and text is not null").select("doc_id", lines.alias("ls")).where(f"size(ls) >= {WINDOW}")
+    h = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), lines.alias("ls")).where(f"size(ls) >= {WINDOW}")
     keys = F.transform(
         F.sequence(F.lit(1), F.size("ls") - (WINDOW - 1)),
         lambda i: F.struct(
@@ -29,20 +30,22 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             F.xxhash64(F.lit("salt"), *[F.get("ls", i - 1 + k) for k in range(WINDOW)]).alias("w2"),
         ),
     )
-    at = h.select("doc_id", F.posexplode(keys).alias("p", "w")).select("doc_id", "p", "w.w1", "w.w2")
-    first = at.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return at.join(first, ["w1", "w2"]).where("struct(doc_id, p) <> first").select("doc_id", "p").distinct()
+    at = h.select("doc_id", "h", F.posexplode(keys).alias("p", "w")).select("doc_id", "h", "p", "w.w1", "w.w2")
+    first = at.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "h", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return at.join(first, ["w1", "w2"]).where("struct(doc_id, h, p) <> first").select("doc_id", "h", "p").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text cut, plus n_lines and n_removed.
 
     Covered positions are merged into a set of gaps per document, so a text is put together from slices in linear time.
+    The row travels in a struct, so its columns clash with none used here.
     """
-    covered = repeated_starts(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    out = docs.join(covered, "doc_id", "left").withColumn("_ls", F.split("text", "\n", -1))
+    covered = repeated_starts(docs.select("doc_id", "text")).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(row.alias("d"), F.col("doc_id"), F.xxhash64("text").alias("h")).join(covered, ["doc_id", "h"], "left").withColumn("ls", F.split("d.text", "\n", -1))
     # a kept stretch lies between the end of a covered start and the next covered start
-    size = F.size("_ls")
+    size = F.size("ls")
     bounds = F.transform(
         F.sequence(F.lit(0), F.size("ps")),
         lambda i: F.struct(
@@ -50,14 +53,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             F.when(i == F.size("ps"), size).otherwise(F.get("ps", i)).alias("b"),
         ),
     )
-    kept = F.flatten(F.transform(F.filter(bounds, lambda g: g.b > g.a), lambda g: F.slice("_ls", g.a + 1, g.b - g.a)))
-    out = out.withColumn("_kept", F.when(F.col("ps").isNotNull(), kept).otherwise(F.col("_ls")))
-    text = F.when(F.col("ps").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    kept = F.flatten(F.transform(F.filter(bounds, lambda g: g.b > g.a), lambda g: F.slice("ls", g.a + 1, g.b - g.a)))
+    out = out.withColumn("kept", F.when(F.col("ps").isNotNull(), kept).otherwise(F.col("ls")))
+    text = F.when(F.col("ps").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("d.text"))
     return out.select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
+        *[F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
         text.alias("text"),
         F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(size - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(size - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
