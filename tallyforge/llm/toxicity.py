@@ -1,31 +1,41 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
+Features: densities of a fixed lexicon and of one learned from labels, second-person words near either, capitals, punctuation and obfuscation.
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2, from at most SAMPLE of them (those with the
-least hash of the id): from one half of the sample the lexicon of word beginnings, from it all the trees, and from a fifth
-kept apart the calibration. Null and empty texts have all-zero features and get a score too; null ids are held out of
-training; repeated rows score alike; without labels of both kinds every score is the label's mean (0 without labels).
+least hash of the id): from one half of the sample the lexicon of words and word beginnings, from the other half the trees, and from a
+fifth of that, kept apart, the calibration. Null and empty texts have all-zero features and get a score too; null ids are held out of
+training; of rows that repeat an id, the text of the least hash teaches, and the id is toxic if any label says so; repeated rows score alike;
+equal scores are possible; texts are read whole however long; extra columns are ignored; without labels of both kinds every score is the
+label's mean (0 without labels).
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The bound on labelled rows that are collected to fit, and on the characters of one of them that teach the lexicon.
-SAMPLE = 6_000
-TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
-# fixed values: common English insults
-INSULTS = "idiot moron stupid loser trash scum clown pathetic worthless disgusting dumb ugly fool jerk hate kill shut".split()
-SECOND = "you your yours yourself u ur du dich dir dein tu te toi ton tú ti usted vous".split()
+from tallyforge.llm.text import mapped, utf8
+from tallyforge.sources.tables import Scratch
+
+#: The bound on labelled rows that fit; a learned word or beginning is in LEAST toxic texts, and in TIMES as many as in clean ones.
+SAMPLE, LEAST, TIMES = 6_000, 4, 12
+TREES, DEPTH, RATE, BINS, NEAR = 40, 3, 0.2, 32, 3
+# fixed values: common insults in English, German, French and Spanish
+INSULTS = frozenset(
+    "idiot idiots moron morons stupid loser losers trash scum clown pathetic worthless disgusting dumb ugly fool jerk hate kill shut"
+    " dumm dumme dummkopf trottel abschaum versager widerlich hässlich arschloch schwachkopf idiotisch"
+    " imbécile imbéciles crétin débile abruti ordure connard stupide minable dégoûtant racaille"
+    " idiota imbécil estúpido estúpida tonto basura escoria patético asqueroso inútil gilipollas".split()
+)
+SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted vosotros".split())
+INSULT, LEARNED, ADDRESS, OBFUSCATED = 1, 2, 4, 8
 _WORD = re.compile(r"[^\W_]+(?:[@$*!013457][^\W_]+)*")
+_SIGNS, _LETTER = re.compile(r"[@$*!013457]"), re.compile(r"[^\W\d_]")
 _LEET = str.maketrans("013457@$!", "oieastasi")
+_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 
 
 def tokens(text: str) -> list[str]:
@@ -37,39 +47,36 @@ def stems_of(w: str) -> list[str]:
     return [w, *(w[:j] + "*" for j in range(3, min(11, len(w))))]
 
 
-class Learned(dict):
-    """word -> whether one of its beginnings was learned; a cache of bounded size."""
+class Flags(dict):
+    """word -> what it is; a cache of bounded size."""
 
     def __init__(self, stems: frozenset[str]):
         self.stems = stems
 
-    def __missing__(self, w: str) -> bool:
+    def __missing__(self, w: str) -> int:
         if len(self) >= 400_000:
             self.clear()
-        hit = self[w] = not self.stems.isdisjoint(stems_of(w))
+        odd = bool(_SIGNS.search(w) and _LETTER.search(w))
+        insult = w in INSULTS or (odd and w.translate(_LEET) in INSULTS)
+        hit = self[w] = INSULT * insult | LEARNED * (not self.stems.isdisjoint(stems_of(w))) | ADDRESS * (w in SECOND) | OBFUSCATED * odd
         return hit
 
 
-def features(text: str | None, stems: Learned) -> list[float]:
+def features(text: str | None, flags: Flags) -> list[float]:
     text = text or ""
     ws = tokens(text)
-    n = max(1, len(ws))
-    insult, second = frozenset(INSULTS), frozenset(SECOND)
-    hit = [i for i, w in enumerate(ws) if w in insult or w.translate(_LEET) in insult]
-    learned = sum(map(stems.__getitem__, ws))
-    near = sum(any(v in second for v in ws[max(0, i - 3) : i + 4]) for i in hit)
-    obf = sum(any(c in "@$*!013457" for c in w) and any(c.isalpha() for c in w) for w in ws)
-    chars = max(1, len(text))
-    caps = sum(w.isupper() and len(w) > 2 for w in text.split())
-    return [len(hit), len(hit) / n, learned, learned / n, near, near / n, caps / n, sum(c.isupper() for c in text) / chars, text.count("!") / n, text.count("?") / n, obf / n, float(np.log1p(len(ws)))]
-
-
-def learn_stems(texts: list[str], y: np.ndarray) -> frozenset[str]:
-    """Words and beginnings of longer words that stand in toxic texts alone or nearly (at least 4 of them)."""
-    pos, neg = Counter(), Counter()
-    for t, k in zip(texts, y):
-        (pos if k else neg).update({s for w in tokens(t or "") for s in stems_of(w)})
-    return frozenset(s for s, c in pos.items() if c >= 4 and c >= 12 * neg[s])
+    n, chars = max(1, len(ws)), max(1, len(text))
+    f = np.fromiter(map(flags.__getitem__, ws), np.uint8, len(ws))
+    insults, learned, odd = (int(np.count_nonzero(f & k)) for k in (INSULT, LEARNED, OBFUSCATED))
+    near = 0
+    if insults or learned:
+        address = np.flatnonzero(f & ADDRESS)
+        hit = np.flatnonzero(f & (INSULT | LEARNED))
+        near = int((np.searchsorted(address, hit + NEAR, "right") > np.searchsorted(address, hit - NEAR)).sum())
+    raw = np.frombuffer(utf8(text), np.uint8)
+    upper = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
+    caps = len(_CAPITALS.findall(text)) if upper >= 3 else 0
+    return [insults, insults / n, learned, learned / n, near, near / n, caps / n, upper / chars, text.count("!") / n, text.count("?") / n, odd / n, float(np.log1p(len(ws)))]
 
 
 class Model:
@@ -131,7 +138,7 @@ class Model:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The calibrated step function, with a share of 1 % of the raw margin so that ties keep their order."""
+        """The calibrated function, linear between its knots, with a share of 1 % of the raw margin so that ties keep their order."""
         if not self.trees:
             return np.full(len(x), self.mean)
         m = self.margin(x)
@@ -139,32 +146,39 @@ class Model:
         return np.clip(0.99 * np.interp(m, at, value) + 0.01 / (1 + np.exp(-m)), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    y = labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y, half, text) of at most SAMPLE labelled ids."""
+    y = labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y"))
     pick = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # the sample is at most SAMPLE ids, so the broadcast has a fixed bound
+    # at most SAMPLE ids, so the broadcast has a fixed bound; of rows that repeat an id one stays
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    half = F.expr("crc32(cast(concat('l', cast(doc_id as string)) as binary)) % 2 = 0")
+    return one.select("doc_id", "y", half.alias("half"), F.col("t.text").alias("text"))
+
+
+def learned_stems(sample: DataFrame) -> frozenset[str]:
+    """Words and beginnings of longer words that stand in toxic texts alone or nearly."""
+
+    def make():
+        return lambda texts: (None, [[sorted({s for w in tokens(t or "") for s in stems_of(w)}) for t in texts]])
+
+    each = mapped(sample.where("half"), make, "stems array<string>", ["y"]).select("y", F.explode("stems").alias("stem"))
+    count = each.groupBy("stem").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return frozenset(r.stem for r in count.where(f"pos >= {LEAST} and pos >= {TIMES} * neg").select("stem").toLocalIterator())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int64")})
-            out["ws"] = [" ".join(sorted({w[:11] for w in tokens(t or "")})) for t in b["text"]]
-            yield out
-
-    got = rows.select("doc_id", F.col("y"), "text").mapInPandas(run, "doc_id long, y long, ws string").toPandas().drop_duplicates("doc_id")
-    half = np.array([zlib.crc32(f"l{i}".encode()) % 2 == 0 for i in got["doc_id"]], bool)
-    stems = learn_stems(got["ws"][half].tolist(), got["y"][half].to_numpy()) if len(got) else frozenset()
-    # the lexicon must not have seen the rows that teach the trees how far to trust it
-    ids = got.loc[~half, ["doc_id"]] if len(got) else pd.DataFrame({"doc_id": pd.Series([], dtype="int64")})
-    keep = set(ids["doc_id"].tolist())
-
-    def feats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Learned(stems)
-        for b in batches:
-            b = b[[i in keep for i in b["doc_id"]]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"].astype("int64"), "x": [features(t, known) for t in b["text"]]})
-
-    f = rows.select("doc_id", "y", "text").mapInPandas(feats, "doc_id long, y long, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    with Scratch(docs.sparkSession, "toxicity") as tmp:
+        sample = tmp.written(_sample(docs, labels), "sample")
+        stems = learned_stems(sample)
+
+        def make():
+            known = Flags(stems)
+            return lambda texts: (None, [[features(t, known) for t in texts]])
+
+        # the lexicon must not have seen the rows that teach the trees how far to trust it
+        f = mapped(sample.where("not half"), make, "x array<double>", ["doc_id", "y"]).toPandas().sort_values("doc_id")
     x = np.array(f["x"].tolist(), float).reshape(len(f), -1) if len(f) else np.zeros((0, 12))
     return Model(x, f["y"].to_numpy(), stems)
 
@@ -173,11 +187,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     """doc_id, held_out, score, predicted of every row."""
     model = fit(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Learned(model.stems)
-        for b in batches:
-            s = model.score(np.array([features(t, known) for t in b["text"]], float).reshape(len(b), -1)) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= threshold).astype("int32")})
+    def make():
+        known = Flags(model.stems)
+
+        def work(texts):
+            s = model.score(np.array([features(t, known) for t in texts], float).reshape(len(texts), -1))
+            return None, [s, (s >= threshold).astype(np.int32)]
+
+        return work
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    out = mapped(docs, make, "score double, predicted int")
     return out.select("doc_id", F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, true)").alias("held_out"), "score", "predicted")
