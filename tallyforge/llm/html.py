@@ -1,144 +1,308 @@
 """Main text by a site style tree.
 
-The DOMs of one host are merged by their style paths (tags with class, id and role); blocks that a tag or class marks as noise go in any case.
-A page is known by its other blocks, so copies count once, whatever their ids, urls, scripts or noise. A wording at a path that c of the host's
-m distinct pages have is spread evenly over them, so its entropy is log(c) / log(m) and its importance 1 less that; a leaf element's importance is the mean
-over its wordings. Leaves of low importance go, and so do wordings of low importance under elements that stay. (In a style tree a branch is noise
-if all of it is low, so leaves decide what text stays.) If less than LEFT of a page's text would stay, the page is a near copy
-rather than an article among boilerplate, and all of it stays. Hosts of fewer than PAGES distinct pages show no repetition that isn't a copy.
-Null html is empty; a null url is a host of its own. An empty table gives an empty one.
+The DOMs of one host are merged by their paths (tags with class, id and role); branches that a tag, role, class or attribute marks as noise go
+in any case. A page is known by its other blocks, so copies count once, whatever their ids, urls, scripts or noise.
+
+Importance of content: a wording at a path that c of the host's m distinct pages have is spread evenly over them, so its entropy is
+log(c) / log(m) and its importance 1 less that; a path's content is worth the mean over its wordings. Importance of presentation: the entropy of
+the sequences of children that an element shows, to the base of the pages that have it. Composite importance of a branch: that of its
+l presentations weighs 1 - GAMMA^l, the mean of its content and its child branches the rest; a page weighs its own branches.
+On pages with any wording or path of low importance, wordings of low importance go wherever they are, and so do whole branches of low
+composite importance, but for those that hold the page's main path (the one with the most text, each wording weighed by its importance).
+If less than LEFT of a page's text would stay, the page is a near copy rather than an article among boilerplate, and all of it stays.
+Hosts of fewer than PAGES distinct pages show no repetition that isn't a copy.
+
+Null html is empty; a null url is a host of its own; pages are read whole however long, in linear time; repeated pages give a row each;
+extra columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
 from html import unescape
 
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.sources.tables import written
+from tallyforge.llm.text import mapped
+from tallyforge.sources.tables import Scratch, written
 
-PAGES, LEAST, LEFT = 3, 0.5, 0.25
+PAGES, LEAST, LEFT, GAMMA = 3, 0.5, 0.25, 0.9
+DEEPEST = 512  # elements nested deeper count as part of the one at this depth, as in browsers
 # fixed values: HTML's element kinds
-RAW = "script style textarea title noscript template iframe".split()
-VOID = "area base br col embed hr img input link meta source track wbr".split()
-INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
-SKIP = "script style head nav header footer aside form noscript template iframe svg button select textarea dialog object menu".split()
-#: Class, id or role words of branches that aren't the article.
-NOISE = re.compile(
-    r"(?i)(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|recommend\w*"
-    r"|share|social|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|signup|login|form|search|comments?|comment-\w*|replies|disqus|reader-comments|pagination|complementary|contentinfo|navigation)(?:$|[^a-z])"
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+SKIP = frozenset("script style head nav footer aside form noscript template iframe svg button select textarea dialog object menu".split())
+CLOSES_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article header footer nav aside form pre blockquote main figure hr".split())
+ENDS_ITSELF = frozenset("li td th tr dt dd option".split())
+ROLES = frozenset("navigation complementary contentinfo banner search form dialog alertdialog alert menu menubar toolbar".split())
+#: Parts of class and id names of branches that aren't the article: STRONG ones mark any name, WEAK ones a name without other parts than these and PLACES.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets"
+    " related recommended recommendations share sharing social cookie cookies consent popup modal newsletter subscribe subscription signup comment comments replies disqus pagination pager".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+WEAK = frozenset("header banner notice login search form side toolbar recommend contentinfo complementary".split())
+PLACES = frozenset("site page top bottom left right main global box bar block wrapper container area inner outer section panel primary secondary mobile desktop sticky fixed".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The attributes of a tag as HTML reads them: a quote is one only after "=".
+_REST = re.compile(r"(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+>")
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-CLOSES_P = frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article header footer nav aside form pre blockquote".split())
 
 
-def blocks(html: str | None) -> list[tuple[str, bool, str]]:
-    """(style path, whether a tag or class marks it as noise, text) of each leaf block in page order."""
-    html = html or ""
-    raw, void, inline, skip = frozenset(RAW), frozenset(VOID), frozenset(INLINE), frozenset(SKIP)
-    stack: list[tuple[str, str, bool]] = []
-    out: list[tuple[str, bool, str]] = []
-    buf: list[str] = []
-
-    def noisy() -> bool:
-        return bool(stack) and stack[-1][2]
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", unescape("".join(buf))).strip()
+def named_noise(names: str) -> bool:
+    """Whether one of the class or id names marks a branch as noise."""
+    for name in names.split():
+        parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if not STRONG.isdisjoint(parts) or (not WEAK.isdisjoint(parts) and all(p in WEAK or p in PLACES for p in parts)):
+            return True
+    return False
+
+
+class _Open:
+    __slots__ = ("tag", "path", "noise", "inline", "children")
+
+    def __init__(self, tag: str, path: str, noise: bool, inline: bool):
+        self.tag, self.path, self.noise, self.inline, self.children = tag, path, noise, inline, []
+
+
+class Page:
+    """blocks: (path, whether it is noise, text) of each leaf block in page order; styles: path -> its sequences of children, of the other branches."""
+
+    def __init__(self, html: str | None):
+        self.blocks: list[tuple[str, bool, str]] = []
+        self.styles: dict[str, set[str]] = defaultdict(set)
+        self.stack: list[_Open] = []
+        self.buf: list[str] = []
+        self.deeper: dict[str, int] = defaultdict(int)
+        self._parse(html or "")
+
+    def _flush(self) -> None:
+        text = _SPACE.sub(" ", unescape("".join(self.buf))).strip()
         if text:
-            out.append(("/".join(s for t, s, _ in stack if t not in inline), noisy(), text))
-        buf.clear()
-
-    def pop(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    at = 0
-    while m := _TAG.search(html, at):
-        buf.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag in inline:
-            if tag == "br":
-                buf.append(" ")
-            continue
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is None:
-                flush()
+            top = next((o for o in reversed(self.stack) if not o.inline), None)
+            self.blocks.append((top.path if top else "", bool(top and top.noise), text))
+        self.buf.clear()
+
+    def _text(self, text: str) -> None:
+        if text and not (self.stack and self.stack[-1].inline):
+            self.buf.append(text)
+
+    def _pop(self, k: int) -> None:
+        self._flush()
+        for o in self.stack[k:]:
+            if o.children and not o.noise:
+                self.styles[o.path].add(",".join(o.children))
+        del self.stack[k:]
+
+    def _parse(self, html: str) -> None:
+        at = 0
+        while (lt := html.find("<", at)) >= 0:
+            self._text(html[at:lt])
+            nxt = html[lt + 1 : lt + 2]
+            if nxt in ("!", "?"):
+                close = "-->" if html.startswith("<!--", lt) else "]]>" if html.startswith("<![CDATA[", lt) else ">"
+                end = html.find(close, lt + 2)
+                at = len(html) if end < 0 else end + len(close)
+                continue
+            closing = nxt == "/"
+            name = _NAME.match(html, lt + 1 + closing)
+            if not name:
+                if closing:  # a comment of a sort
+                    end = html.find(">", lt)
+                    at = len(html) if end < 0 else end + 1
+                else:
+                    self._text("<")
+                    at = lt + 1
+                continue
+            rest = _REST.match(html, name.end())
+            # a quote that never ends: the tag goes to its first ">"; there is one such place per kind of quote at most
+            end = rest.end() if rest else html.find(">", name.end()) + 1
+            at = end or len(html)
+            tag = name[0].lower()
+            if closing:
+                self._close(tag)
             else:
-                pop(k)
-            continue
-        flush()
-        if tag in void:
-            continue
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            pop(len(stack) - 1)
-        if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            pop(len(stack) - 1)
-        names = " ".join(next(x for x in (a[2], a[3], a[4], "") if x is not None) for a in _ATTR.finditer(m[3] or ""))
-        if tag == "body" and stack and stack[-1][0] == "head":
-            pop(len(stack) - 1)
-        noise = noisy() or tag in skip or (bool(names) and tag not in ("html", "body", "article", "main") and bool(NOISE.search(names)))
-        if tag in raw:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, f"{tag}.{_SPACE.sub('.', names)}" if names else tag, noise))
-    buf.append(html[at:])
-    flush()
-    return out
-
-
-def ids(path: str, text: str) -> tuple[int, int]:
-    """Of the leaf element, and of the wording there."""
-    return xxhash.xxh3_64_intdigest(path) - (1 << 63), xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
-
-
-def main_text(found: list[tuple[str, bool, str]], low: set[int]) -> str:
-    own = [(p, t) for p, noise, t in found if not noise]
-    if low:
-        stay = [(p, t) for p, t in own if low.isdisjoint(ids(p, t))]
+                at = self._open(tag, html[name.end() : at - 1] if end else "", html, at)
+        self._text(html[at:])
+        self._pop(0)
+
+    def _close(self, tag: str) -> None:
+        if self.deeper[tag]:
+            self.deeper[tag] -= 1
+            self._flush()
+            return
+        k = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k].tag == tag), None)
+        if tag in INLINE:
+            if k is not None and all(o.inline for o in self.stack[k:]):
+                del self.stack[k:]
+            return
+        if k is None:
+            self._flush()
+        else:
+            self._pop(k)
+
+    def _open(self, tag: str, attributes: str, html: str, at: int) -> int:
+        names = role = ""
+        hidden = False
+        if attributes and not attributes.isspace():
+            for a in _ATTR.finditer(attributes):
+                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if key in ("class", "id"):
+                    names = f"{names} {value}" if names else value
+                elif key == "role":
+                    role = value.lower()
+                elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
+                    hidden = True
+        stack = self.stack
+        if tag in INLINE:
+            if tag == "br":
+                self._text(" ")
+            elif tag not in VOID and len(stack) < DEEPEST and (hidden or (names and named_noise(names))):
+                stack.append(_Open(tag, "", True, True))
+            return at
+        self._flush()
+        while stack and stack[-1].inline:
+            stack.pop()
+        if tag in VOID:
+            return at
+        if tag in CLOSES_P and stack and stack[-1].tag == "p":
+            self._pop(len(stack) - 1)
+        if tag in ENDS_ITSELF and stack and stack[-1].tag == tag:
+            self._pop(len(stack) - 1)
+        if tag == "body" and stack and stack[-1].tag == "head":
+            self._pop(len(stack) - 1)
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)
+            return end.end() if end else len(html)
+        if len(stack) >= DEEPEST:
+            self.deeper[tag] += 1
+            return at
+        inside = bool(stack) and stack[-1].noise
+        noise = inside or hidden or tag in SKIP or role in ROLES or (tag == "header" and not any(o.tag in ("article", "main") for o in stack))
+        if not noise and names and tag not in ("html", "body", "article", "main"):
+            noise = named_noise(names)
+        sig = f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag
+        if role:
+            sig = f"{sig}[{role}]"
+        if stack and not noise and stack[-1].children[-1:] != [sig]:
+            stack[-1].children.append(sig)  # a run of like children counts as one
+        stack.append(_Open(tag, f"{stack[-1].path}/{sig}" if stack else sig, noise, False))
+        return at
+
+
+def blocks(html: str | None) -> list[tuple[str, bool, str]]:
+    return Page(html).blocks
+
+
+def path_id(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+
+
+def wording_id(path: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
+
+
+def main_text(page: Page, content: dict[int, float] | None, shown: dict[int, tuple[float, int]] | None) -> str:
+    """content: importance of the page's wordings and paths, 1 where it has none; shown: entropy and number of presentations of its paths."""
+    own = [(p, t) for p, noise, t in page.blocks if not noise]
+    if content:
+        worth = [content.get(wording_id(p, t), 1.0) for p, t in own]
+        weight: dict[str, float] = defaultdict(float)
+        for (p, t), w in zip(own, worth):
+            weight[p] += len(t) * w
+        low = low_branches(dict.fromkeys(weight), content, shown or {})
+        held = max(weight, key=weight.get)  # ties: the first in the page
+        gone = {q for q in low if not f"{held}/".startswith(f"{q}/")}
+        stay = [(p, t) for (p, t), w in zip(own, worth) if w >= LEAST and gone.isdisjoint(_up(p))]
         if sum(len(t) for _, t in stay) >= LEFT * sum(len(t) for _, t in own):
             own = stay
     return "\n".join(t for _, t in own)
 
 
+def _up(path: str) -> list[str]:
+    """The path and those above it."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(len(parts), 0, -1)]
+
+
+def low_branches(paths, content: dict[int, float], shown: dict[int, tuple[float, int]]) -> set[str]:
+    """Branches whose composite importance is below LEAST; paths: those that have content."""
+    parts: dict[str, list[float]] = defaultdict(list)
+    for p in paths:
+        parts[p].append(content.get(path_id(p), 1.0))
+        for q in _up(p):
+            parts[q]  # noqa: B018
+    low = set()
+    for q in sorted(parts, key=lambda x: -x.count("/")):  # children before their parents
+        value = sum(parts[q]) / len(parts[q])
+        if spread := shown.get(path_id(q)):
+            own = GAMMA ** spread[1]
+            value = (1 - own) * spread[0] + own * value
+        if value < LEAST:
+            low.add(q)
+        if "/" in q:
+            parts[q.rpartition("/")[0]].append(value)
+    return low
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
+    sited = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("content"))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [[ids(p, t) for p, noise, t in blocks(h) if not noise] for h in b["html"]]
-            key = [xxhash.xxh3_64_intdigest(",".join(str(w) for _, w in g)) - (1 << 63) for g in got]
-            got = [sorted(set(g)) for g in got]
-            yield pd.DataFrame({"host": b["host"], "page": key, "path": [[x[0] for x in g] for g in got], "wording": [[x[1] for x in g] for g in got]})
+    def parse():
+        def work(texts):
+            rows = []
+            for h in texts:
+                p = Page(h)
+                own = [(path_id(q), wording_id(q, t)) for q, noise, t in p.blocks if not noise]
+                key = path_id(",".join(str(w) for _, w in own))
+                shown = [(path_id(q), path_id(";".join(sorted(s)))) for q, s in p.styles.items()]
+                distinct = sorted(set(own))
+                rows.append((key, [x[0] for x in distinct], [x[1] for x in distinct], [x[0] for x in shown], [x[1] for x in shown]))
+            return None, list(zip(*rows))
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
-    sited = pages.select("page_id", "url", "html", host.alias("host"))
-    parsed = written(sited.select("host", "html").mapInPandas(parse, "host string, page long, path array<long>, wording array<long>").dropDuplicates(["host", "page"]), "dom")
-    leaf = parsed.select("host", F.explode(F.arrays_zip("path", "wording")).alias("x")).select("host", "x.path", "x.wording")
-    count = leaf.groupBy("host", "path", "wording").agg(F.count("*").alias("c"))
-    total = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {PAGES}")
-    # the mean of 1 - log(c) / log(m); m comes in when there is a row per path, or of wordings those on several pages
-    node = count.groupBy("host", "path").agg(F.avg(F.log("c")).alias("spread")).where("spread > 0").withColumnRenamed("path", "id")
-    both = node.unionByName(count.where("c > 1").select("host", F.col("wording").alias("id"), F.log("c").alias("spread")))
-    # one row per host: the ids of its low elements and wordings
-    low = written(both.join(total, "host").where(1 - F.col("spread") / F.log("m") < LEAST).groupBy("host").agg(F.collect_set("id").alias("low")), "style-tree")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [main_text(blocks(h), set() if gone is None else set(gone)) for h, gone in zip(b["html"], b["low"])]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}).astype({"page_id": "Int64"})
-
-    return sited.join(low, "host", "left").select("page_id", "url", "html", "low").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+        return work
+
+    with Scratch(pages.sparkSession, "style-tree") as tmp:
+        made = mapped(sited, parse, "page long, path array<long>, wording array<long>, shown array<long>, style array<long>", ["host", "content"], "html")
+        parsed = tmp.written(made.dropDuplicates(["host", "content"]), "dom")
+        dom = tmp.written(parsed.dropDuplicates(["host", "page"]), "pages")
+        # m comes in when there is a row per path or wording
+        total = tmp.written(dom.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {PAGES}"), "hosts")
+        count = dom.select("host", F.explode(F.arrays_zip("path", "wording")).alias("x")).groupBy("host", "x.path", "x.wording").agg(F.count("*").alias("c"))
+        count = tmp.written(count, "wordings")
+        node = count.groupBy("host", F.col("path").alias("id")).agg(F.avg(F.log("c")).alias("spread")).where("spread > 0")
+        both = node.unionByName(count.where("c > 1").select("host", F.col("wording").alias("id"), F.log("c").alias("spread")))
+        content = tmp.written(both.join(total, "host").select("host", "id", (1 - F.col("spread") / F.log("m")).alias("worth")), "content")
+        ids = F.explode(F.array_distinct(F.concat("path", "wording"))).alias("id")
+        met = parsed.select("host", "content", ids).join(content.where(F.col("worth") < LEAST), ["host", "id"], "left_semi").select("host", "content").distinct()
+        met = tmp.written(met, "met")  # the pages that have something of low importance
+        parsed = parsed.join(met, ["host", "content"], "left_semi")
+        values = parsed.select("host", "content", ids).join(content, ["host", "id"]).select("host", "content", F.struct("id", F.col("worth"), F.lit(0).alias("l")).alias("v"))
+        styles = dom.select("host", F.explode(F.arrays_zip("shown", "style")).alias("x")).groupBy("host", "x.shown", "x.style").agg(F.count("*").alias("c"))
+        c, n = F.col("c"), F.col("n")
+        # -sum(c/n * log(c/n)) / log(n) = (log(n) - sum(c * log(c)) / n) / log(n)
+        entropy = styles.groupBy("host", F.col("shown").alias("id")).agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("s"), F.count("*").cast("int").alias("l"))
+        entropy = entropy.select("host", "id", F.when(n > 1, 1 - F.col("s") / n / F.log(n)).otherwise(1.0).alias("worth"), "l")
+        shown = parsed.select("host", "content", F.explode("shown").alias("id")).join(entropy, ["host", "id"]).select("host", "content", F.struct("id", "worth", "l").alias("v"))
+        tree = written(values.unionByName(shown).groupBy("host", "content").agg(F.collect_list("v").alias("tree")), "trees")
+
+    def cut():
+        def work(rows):
+            out = []
+            for r in rows:
+                tree = r["tree"] or []
+                content = {v["id"]: v["worth"] for v in tree if not v["l"]}
+                out.append(main_text(Page(r["html"]), content, {v["id"]: (v["worth"], v["l"]) for v in tree if v["l"]}))
+            return None, [out, [len(t) for t in out]]
+
+        return work
+
+    page = sited.join(tree, ["host", "content"], "left").select("page_id", "url", F.struct("html", "tree").alias("page"))
+    return mapped(page, cut, "text string, n_chars long", ["page_id", "url"], "page")
