@@ -148,3 +148,13 @@ def experience_draft(counts: DataFrame, colours: list[str]) -> DataFrame:
 def unresolved(cards: DataFrame, choices: DataFrame) -> DataFrame:
     """Review items without a choice; none means that the resolution is complete."""
     return candidates(cards).where(F.size("codes") > 0).join(choices.select("card"), "card", "left_anti").select("user_id", "card")
+
+
+def finalized(cards: DataFrame, groups: DataFrame, account: str) -> dict[str, DataFrame]:
+    """The tables of a workspace that a resolved draft gives: the inventory, the members of each instance as evidence, and no plan targets."""
+    done = settled(cards, groups).where("ok")
+    mine = F.lit(account).alias("account_id")
+    inventory = done.select(mine, F.col("primary").alias("instance"), "name", "level", "quality")
+    evidence = groups.join(done.select("component", F.col("primary").alias("instance")), "component").select(mine, "instance", "card")
+    targets = inventory.select("account_id", "instance", F.col("level").alias("target")).limit(0)
+    return {"inventory": inventory, "evidence": evidence, "targets": targets}

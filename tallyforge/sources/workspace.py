@@ -55,6 +55,9 @@ class Workspace:
             raise StaleRevision(f"expected {expected}, found {self.revision()}")
         folder = f"data-{expected + 1}-{uuid.uuid4().hex}"
         for name, t in tables.items():
+            if t.isEmpty():  # its schema would be lost with no partition
+                t.write.parquet(f"{self.root}/{folder}/{name}")
+                continue
             t.write.partitionBy("account_id").parquet(f"{self.root}/{folder}/{name}")
         marker = self.path(f"{self.root}/_committed/{expected + 1}")
         try:
@@ -65,6 +68,18 @@ class Workspace:
         out.close()
         return expected + 1
 
+    def replace_account(self, expected: int, account: str, tables: dict[str, DataFrame]) -> int:
+        """Commit an account's new tables beside the other accounts' rows; the revision before stays as the restore point, and the result is read back."""
+        old = set(self.tables()) if self.revision() else set()
+        rest = {n: self.table(n).where(F.col("account_id") != account) for n in old}
+        new = {n: t if n not in rest else t.unionByName(rest[n].select(*t.columns)) for n, t in tables.items()}
+        want = {n: t.count() for n, t in new.items()}
+        done = self.commit(expected, {**{n: t for n, t in rest.items() if n not in tables}, **new})
+        for n, k in want.items():
+            if k and self.table(n).count() != k:
+                raise RuntimeError(f"{n} has not {k} rows after the commit")
+        return done
+
     def table(self, name: str, account: str | None = None, revision: int | None = None) -> DataFrame:
         """A table of a revision (the newest by default); an account's rows are a partition filter."""
         t = self.spark.read.parquet(f"{self._folder(self.revision() if revision is None else revision)}/{name}")

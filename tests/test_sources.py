@@ -101,3 +101,16 @@ def test_scope_falls_through(spark):
     assert ids(planning.scope(x, F.col("s"), F.col("f"))) == [1]
     assert ids(planning.scope(x, F.col("s"), F.col("s"))) == [1, 2]
     assert ids(planning.scope(x, F.col("id") == 2, F.col("f"))) == [2]
+
+
+def test_finalize_replaces_one_account(spark, tmp_path):
+    w = workspace.Workspace(spark, str(tmp_path / "w"))
+    card = "card long, k int, r int, c int, name string, level int, quality int, conf int, manual boolean"
+    cards = spark.createDataFrame([(1, 0, 0, 0, "a", 5, 1, 90, False), (2, 1, 0, 0, "a", 5, 2, 95, False), (3, 1, 0, 1, "b", 7, 3, 50, False), (4, 1, 0, 2, None, 7, 3, 50, False)], card)
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "card long, component long")
+    assert w.replace_account(0, "me", draft.finalized(cards, groups, "me")) == 1
+    assert w.replace_account(1, "you", draft.finalized(cards.where("card = 3"), groups.where("card = 3"), "you")) == 2
+    assert {(r.account_id, r.instance, r.name, r.quality) for r in w.table("inventory").collect()} == {("me", 1, "a", 2), ("me", 3, "b", 3), ("you", 3, "b", 3)}
+    assert {r.card for r in w.table("evidence", "me").collect()} == {1, 2, 3} and w.table("targets").count() == 0
+    with pytest.raises(workspace.StaleRevision):
+        w.replace_account(1, "me", {})
