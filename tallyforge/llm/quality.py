@@ -39,8 +39,10 @@ def line_fails(line: str) -> str | None:
         return "navigation"
     if 10 * sum(line.count(c) for c in SYMBOLS) > 3 * n and n > 1:
         return "symbols"
-    if n >= 4 and 2 * sum(w.endswith("!!") for w in ws) > n:
+    if n >= 4 and 2 * sum(w[-1] in "!?" and w[-2:-1] in ("!", "?") for w in ws) > n:
         return "shouting"
+    if n >= 4 and 2 * sum(not w[0].isalnum() and not any(map(str.isalnum, w)) for w in ws) > n:
+        return "punctuation"
     letters = [c for c in line if c.isalpha()]
     if n >= 6 and 10 * sum(c.isupper() for c in letters) > 7 * len(letters) and letters:
         return "capitals"
