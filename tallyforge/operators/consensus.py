@@ -113,3 +113,15 @@ def best_per_kind(obs: DataFrame, kinds: list[str]) -> DataFrame:
     out = [F.max_by("value", F.when(F.col("kind") == k, F.struct(sure, -F.col("value")))).alias(f"_{k}") for k in kinds] + [F.bool_or(F.col("kind") == k).alias(f"_has_{k}") for k in kinds]
     g = obs.groupBy("page").agg(F.bool_and("complete").alias("whole"), *out)
     return g.select("page", *[F.when(F.col(f"_has_{k}"), F.col(f"_{k}")).when(F.col("whole"), F.lit(0)).alias(k) for k in kinds])
+
+
+def header_observation(candidates: DataFrame, reliable_at: int = 65) -> DataFrame:
+    """(grp, ordinal, current, capacity, conf): the best candidate's values and status.
+
+    ambiguous if another reliable candidate says otherwise, invalid if the best has more than the capacity, uncertain below `reliable_at`, else confirmed.
+    """
+    best = candidates.groupBy("grp").agg(F.max_by(F.struct("current", "capacity", "conf"), F.struct("conf", -F.col("ordinal"))).alias("b"))
+    ok = F.when(F.col("conf") >= reliable_at, F.struct("current", "capacity"))
+    kinds = candidates.groupBy("grp").agg(F.count_distinct(ok).alias("kinds"))
+    status = F.when(F.col("b.conf") < reliable_at, "uncertain").when(F.col("kinds") > 1, "ambiguous").when(F.col("b.current") > F.col("b.capacity"), "invalid").otherwise("confirmed")
+    return best.join(kinds, "grp").select("grp", "b.current", "b.capacity", "b.conf", status.alias("status"))

@@ -95,3 +95,31 @@ def instances(items: DataFrame) -> DataFrame:
     x = items.where("quantity >= 1").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("quantity").cast("int") - 1)))
     name = F.concat(F.col("id"), F.lit(":"), F.col("copy").cast("string"))
     return x.withColumn("id", F.when(F.col("copy") == 0, F.col("id")).otherwise(uuid5(name))).drop("quantity")
+
+
+def search_whole(items: DataFrame, text: str, aliases: DataFrame, kind: str | None = None, quality: int | None = None) -> DataFrame:
+    """Rows of a kind and quality that one of the terms fits: as a part of the name or display name, or by its canonical name.
+
+    The terms are few and aliases (alias, name) is a dimension, so what is matched against the rows is a table of some terms.
+    """
+    found = terms(text)
+    keep: Column = F.lit(True)
+    if kind is not None:
+        keep = keep & (F.col("kind") == kind)
+    if quality is not None:
+        keep = keep & (F.col("quality") == quality)
+    rows = items.where(keep)
+    if not found:
+        return rows
+    t = items.sparkSession.createDataFrame([(x,) for x in found], "term string").join(aliases.select(F.col("alias").alias("term"), F.col("name").alias("canon")), "term", "left")
+    t = t.agg(F.collect_set(F.coalesce("canon", "term")).alias("_terms"))  # one row, of at most as many terms as were typed
+    shown = F.concat("name", F.lit("("), F.col("quality").cast("string"), F.lit(")"))
+    x = rows.join(F.broadcast(t), F.lit(True), "left")
+    return x.where(F.exists("_terms", lambda w: F.contains(F.col("name"), w) | F.contains(shown, w) | (F.col("name") == w))).drop("_terms")
+
+
+def filtered_group_counts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """With a filter on, groups are (kind, name): their size stands on the first row of each in the given order, else NULL."""
+    w = Window.partitionBy("kind", "name")
+    first = F.row_number().over(w.orderBy(*ordered(items, keys))) == 1
+    return items.select("instance_id", F.when(first, F.count("*").over(w)).alias("group_count"))

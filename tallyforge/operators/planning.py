@@ -70,3 +70,20 @@ def scope(items: DataFrame, selected: Column, shown: Column) -> DataFrame:
     n = items.agg(F.count(F.when(selected, 1)).alias("_s"), F.count(F.when(shown, 1)).alias("_f"))
     x = items.join(F.broadcast(n), F.lit(True), "left")  # one row
     return x.where(F.when(F.col("_s") > 0, selected).when(F.col("_f") > 0, shown).otherwise(True)).drop("_s", "_f")
+
+
+def summary(items: DataFrame, targets: DataFrame, costs: DataFrame, stock: DataFrame, white: int, purple: int, orange: int, run_yield: int, run_cost: int, with_orange: bool = True) -> DataFrame:
+    """One row: plans that upgrade, plans that can't be (levels outside the table), what they need, split, owned, gap, runs and stamina, runs for all of it.
+
+    stock is one row (orange, purple, white); an unknown number makes owned, gap, runs and stamina unknown, not the need.
+    """
+    c = requirement(items, targets, costs)
+    need = c.agg(F.count(F.when(F.col("raw") > 0, 1)).alias("upgrading"), F.coalesce(F.sum("rounded"), F.lit(0).cast("long")).alias("required"))
+    bad = overlay(items, targets).join(F.broadcast(costs.select(F.col("level").alias("goal"))), "goal", "left_anti").agg(F.count("*").alias("skipped"))
+    owned = F.col("purple") * purple + F.col("white") * white + (F.col("orange") * orange if with_orange else F.lit(0))
+    # three tables of one row
+    x = need.join(F.broadcast(bad), F.lit(True)).join(F.broadcast(stock.select(owned.cast("long").alias("owned"))), F.lit(True))
+    x = x.withColumn("gap", F.when(F.col("owned").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("required") - F.col("owned"))))
+    runs = lambda f: F.expr(f"({f} + {run_yield - 1}) div {run_yield}")
+    x = x.withColumn("runs", runs("gap")).withColumn("all_runs", runs("required")).withColumn("stamina", (F.col("runs") * run_cost).cast("long"))
+    return x.withColumn("purple", F.expr(f"required div {purple}")).withColumn("white", F.expr(f"required % {purple} div {white}"))

@@ -42,3 +42,8 @@ def override(rows: DataFrame, hand: DataFrame, key: str, field: str) -> DataFram
     kind = dict(rows.dtypes)[field]
     value = F.when(F.col("_v") == "unknown", F.lit(None)).when(F.col("_v").isNotNull(), F.col("_v").try_cast(kind)).otherwise(F.col(field))
     return x.withColumn(field, value).withColumn("manual", F.coalesce(F.col("_v").isNotNull() & (F.col("_v") != "unknown"), F.lit(False))).drop("_v")
+
+
+def manual_kept(rows: DataFrame, detected: DataFrame) -> DataFrame:
+    """Rows without an occurrence, and those whose occurrence isn't detected (a null is never detected)."""
+    return rows.join(detected.select("occ").distinct(), "occ", "left_anti")

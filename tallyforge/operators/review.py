@@ -73,3 +73,22 @@ def rollup(reasons: DataFrame, key: str) -> DataFrame:
 def export_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Identical rows as one with a quantity."""
     return rows.groupBy(*keys).agg(F.count("*").alias("quantity"))
+
+
+def performance(images: DataFrame, key: str, timings: list[str]) -> DataFrame:
+    """Per batch the sums of its stages, and how many images of each page type it has, as a map."""
+    s = images.groupBy(key).agg(F.count("*").alias("images"), *[F.sum(t).alias(t) for t in timings])
+    kinds = images.groupBy(key, "page").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("page", "n")))).alias("pages"))
+    return s.join(kinds, key)
+
+
+def review_rows(occ: DataFrame, images: DataFrame, relations: DataFrame, choices: DataFrame) -> DataFrame:
+    """Everything a reviewer sees of a card: its image's place and pool, how many relations it has, and what was chosen."""
+    n = relations.groupBy("occ_id").agg(F.count("*").alias("relations"))
+    x = occ.join(images, "image").join(n, "occ_id", "left").join(choices, "occ_id", "left")
+    return x.withColumn("relations", F.coalesce("relations", F.lit(0).cast("long"))).withColumn("choice", F.coalesce("choice", F.lit("none")))
+
+
+def image_places(batches: DataFrame) -> DataFrame:
+    """(batch, images) -> the place of each image in its batch's list."""
+    return batches.select("batch", F.posexplode("images").alias("pos", "image"))
