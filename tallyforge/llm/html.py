@@ -9,6 +9,7 @@ the sequences of children that an element shows, to the base of the pages that h
 l presentations weighs 1 - GAMMA^l, the mean of its content and its child branches the rest; a page weighs its own branches.
 On pages with any wording or path of low importance, wordings of low importance go wherever they are, and so do whole branches of low
 composite importance, but for those that hold the page's main path (the one with the most text, each wording weighed by its importance).
+Beside the main path, in the element that holds it, a wording must be on nearly every page (importance below SURE) to go: articles may share passages.
 If less than LEFT of a page's text would stay, the page is a near copy rather than an article among boilerplate, and all of it stays.
 Hosts of fewer than PAGES distinct pages show no repetition that isn't a copy.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.text import mapped
 from tallyforge.sources.tables import Scratch, written
 
-PAGES, LEAST, LEFT, GAMMA = 3, 0.5, 0.25, 0.9
+PAGES, LEAST, SURE, LEFT, GAMMA = 3, 0.5, 0.1, 0.25, 0.9
 DEEPEST = 512  # elements nested deeper count as part of the one at this depth, as in browsers
 # fixed values: HTML's element kinds
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -218,7 +219,8 @@ def main_text(page: Page, content: dict[int, float] | None, shown: dict[int, tup
         low = low_branches(dict.fromkeys(weight), content, shown or {})
         held = max(weight, key=weight.get)  # ties: the first in the page
         gone = {q for q in low if not f"{held}/".startswith(f"{q}/")}
-        stay = [(p, t) for (p, t), w in zip(own, worth) if w >= LEAST and gone.isdisjoint(_up(p))]
+        around = held.rpartition("/")[0]
+        stay = [(p, t) for (p, t), w in zip(own, worth) if w >= (SURE if p.startswith(f"{around}/") else LEAST) and gone.isdisjoint(_up(p))]
         if sum(len(t) for _, t in stay) >= LEFT * sum(len(t) for _, t in own):
             own = stay
     return "\n".join(t for _, t in own)
@@ -304,5 +306,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return work
 
-    page = sited.join(tree, ["host", "content"], "left").select("page_id", "url", F.struct("html", "tree").alias("page"))
+    # one kind of join at every size
+    page = sited.join(tree.hint("merge"), ["host", "content"], "left").select("page_id", "url", F.struct("html", "tree").alias("page"))
     return mapped(page, cut, "text string, n_chars long", ["page_id", "url"], "page")

@@ -48,3 +48,15 @@ def test_near_copies_stay(spark):
             rows.append((100 * n + k, f"http://near{n}/{k}", page(k, own)))
     got = texts(spark, rows)
     assert all(got[k].startswith("\n".join(own)) for k, own in want.items())
+
+
+def test_shared_passages_of_articles_stay(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    passage = prose(rng, 9)
+    for k in range(30):
+        own = [prose(rng, 12) for _ in range(4)] + ([passage] if k % 3 == 0 else [])
+        box = "Some of all pages have this" if k % 2 else "The rest of them have that"
+        rows.append((k, f"http://shared/{k}", f"<body><article>{''.join(f'<p>{p}</p>' for p in own)}</article><div class=a><div class=b>{box}</div></div></body>"))
+        want[k] = "\n".join(own)
+    assert texts(spark, rows) == want
