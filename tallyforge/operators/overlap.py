@@ -36,8 +36,8 @@ def align(cells: DataFrame, rule: str) -> DataFrame:
 
 
 def identified_rows(cells: DataFrame, names: int = 2) -> DataFrame:
-    """Full rows in which at least `names` cells have a confirmed name: (user_id, k, r, cells), cells of (c, name, level, quality)."""
-    cell = F.struct("c", "name", "level", "quality")
+    """Full rows in which at least `names` cells have a confirmed name: (user_id, k, r, cells), cells of (c, name, level, quality), and icon, a 64-bit hash of what is seen, where there is one."""
+    cell = F.struct("c", "name", "level", "quality", *[x for x in ("icon",) if x in cells.columns])
     rows = cells.groupBy("user_id", "k", "r").agg(F.count_distinct("c").alias("w"), F.count("name").alias("known"), F.sort_array(F.collect_list(cell)).alias("cells"))
     return rows.where(f"w = 4 and known >= {names}").select("user_id", "k", "r", "cells")
 
@@ -53,32 +53,39 @@ def continuous(rows: DataFrame) -> DataFrame:
     return x.select("user_id", "k", pick(F.get("_s", F.lit(0))).alias("prefix"), pick(F.element_at("_s", -1)).alias("suffix"))
 
 
-def row_verdict(a, b):
+def row_verdict(a, b, visual: bool = False):
     """How two rows of four cells compare: a known name, level or quality that differs is no overlap; all names and levels known and equal confirm it;
-    two agreements, two of them names, leave it pending; else the rows say nothing."""
+    two agreements, two of them names, leave it pending; else the rows say nothing.
+
+    visual: icons that agree in half of their bits or less veto a confirmed or pending row.
+    """
 
     def cell(x, y):
         name, level, quality = (x[f].isNotNull() & y[f].isNotNull() for f in ("name", "level", "quality"))
         differ = (name & (x["name"] != y["name"])) | (level & (x["level"] != y["level"])) | (quality & (x["quality"] != y["quality"]))
-        return F.struct(F.coalesce(differ, F.lit(False)).alias("differ"), name.alias("name"), level.alias("level"))
+        apart = F.bit_count(x["icon"].bitwiseXOR(y["icon"])) >= 32 if visual else F.lit(False)
+        return F.struct(F.coalesce(differ, F.lit(False)).alias("differ"), name.alias("name"), level.alias("level"), F.coalesce(apart, F.lit(False)).alias("apart"))
 
     z = F.zip_with(a, b, cell)
     count = lambda f: F.size(F.filter(z, f))
     names, levels = count(lambda q: q["name"]), count(lambda q: q["level"])
-    return F.when(F.exists(z, lambda q: q["differ"]), "no_overlap").when((names == 4) & (levels == 4), "confirmed").when((names + levels >= 2) & (names >= 2), "pending").otherwise("ignored")
+    ignored = ~((names + levels >= 2) & (names >= 2))
+    veto = F.exists(z, lambda q: q["differ"]) | (~ignored & F.exists(z, lambda q: q["apart"]))
+    return F.when(veto, "no_overlap").when((names == 4) & (levels == 4), "confirmed").when(~ignored, "pending").otherwise("ignored")
 
 
 def align_targeted(cells: DataFrame) -> DataFrame:
     """(user_id, k, len, confirmed): the longest end of image k that is the start of image k + 1, over continuous identified rows.
 
-    It has at least one confirmed row and none that differs or says nothing.
+    It has at least one confirmed row and none that differs or says nothing. With a column icon, what is seen may veto a row.
     """
+    visual = "icon" in cells.columns
     image = continuous(identified_rows(cells))
     after = image.select("user_id", (F.col("k") - 1).alias("k"), F.col("prefix").alias("next"))
     p = image.select("user_id", "k", F.col("suffix").alias("rows")).join(after, ["user_id", "k"])
 
     def verdicts(n):
-        return F.zip_with(F.slice("rows", F.size("rows") - n + 1, n), F.slice("next", F.lit(1), n), lambda x, y: row_verdict(x.cells, y.cells))
+        return F.zip_with(F.slice("rows", F.size("rows") - n + 1, n), F.slice("next", F.lit(1), n), lambda x, y: row_verdict(x.cells, y.cells, visual))
 
     def valid(n):
         v = verdicts(n)
@@ -89,6 +96,22 @@ def align_targeted(cells: DataFrame) -> DataFrame:
     return x.select("user_id", "k", F.col("len").cast("long").alias("len"), F.size(F.filter(verdicts(F.col("len")), lambda q: q == "confirmed")).cast("long").alias("confirmed"))
 
 
+def align_with_evidence(cells: DataFrame) -> DataFrame:
+    """(user_id, k, len, status): the browser alignment, or where there is none, the longest attempt in which a row differs, as evidence of a conflict."""
+    found = align(cells, "browser").select("user_id", "k", "len", F.lit("aligned").alias("status"))
+    image = full_rows(cells).groupBy("user_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "cells"))), lambda x: x.cells).alias("rows"))
+    after = image.select("user_id", (F.col("k") - 1).alias("k"), F.col("rows").alias("next"))
+
+    def differs(n):
+        pair = F.zip_with(F.slice("rows", F.size("rows") - n + 1, n), F.slice("next", F.lit(1), n), lambda x, y: F.exists(F.zip_with(x, y, lambda a, b: F.coalesce((a["name"] != b["name"]) | (a["level"] != b["level"]), F.lit(False))), lambda q: q))
+        return F.exists(pair, lambda q: q)
+
+    tried = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.size("rows"), F.size("next"))), differs))
+    rest = image.join(after, ["user_id", "k"]).join(found.select("user_id", "k"), ["user_id", "k"], "left_anti")
+    conflict = rest.select("user_id", "k", tried.cast("long").alias("len"), F.lit("conflict").alias("status")).where("len is not null")
+    return found.unionByName(conflict)
+
+
 def directed_pairs(pairs: DataFrame, pools: DataFrame) -> DataFrame:
     """(pair, before, after): the valid ones among pairs of images: both of one confirmed pool, not itself, and the first of those that repeat it either way."""
     a, b = pools.select(F.col("image").alias("before"), F.col("pool").alias("_p")), pools.select(F.col("image").alias("after"), F.col("pool").alias("_q"))

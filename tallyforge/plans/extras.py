@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import consensus, inventory, planning, reconcile, review
+from tallyforge.operators import consensus, inventory, overlap, planning, reconcile, review
 from tallyforge.plans import adapters as A
 from tallyforge.plans.cards import IMAGES, OCC, _images
-from tallyforge.plans.queries import BASE, ITEMS
+from tallyforge.plans.queries import BASE, CELLS, ITEMS
 from tallyforge.plans.registry import query
 from tallyforge.sources.tables import load
 
@@ -79,3 +79,12 @@ def header_observation(spark, d):
 @query(f"WITH {OCC} SELECT image, r, count(DISTINCT c) = 4 AND bool_and(complete) AS whole, CAST(count(*) AS BIGINT) AS cells FROM occ GROUP BY 1, 2")
 def structural_rows(spark, d):
     return A.occurrences(spark, d).groupBy("image", F.col("r").cast("long").alias("r")).agg(((F.count_distinct("c") == 4) & F.bool_and("complete")).alias("whole"), F.count("*").alias("cells"))
+
+
+# every length that both images have, not the five of the older queries
+_ALL = CELLS.replace("(SELECT unnest(range(1, 6)) AS len) l", "(SELECT unnest(range(1, (SELECT max(n) + 1 FROM nr))) AS len) l")
+
+
+@query(f"WITH {_ALL}, a AS (SELECT user_id, k, max(len) AS len FROM agg WHERE bad = 0 AND anchors > 0 GROUP BY 1, 2), x AS (SELECT user_id, k, max(len) AS len FROM agg WHERE bad > 0 AND (user_id, k) NOT IN (SELECT (user_id, k) FROM a) GROUP BY 1, 2) SELECT user_id, k, len, 'aligned' AS status FROM a UNION ALL SELECT user_id, k, len, 'conflict' FROM x")
+def align_with_evidence(spark, d):
+    return overlap.align_with_evidence(A.cells(spark, d))
