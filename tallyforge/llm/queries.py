@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyforge.llm import decontam, html, jaccard, licenses, line_dedup, lm, packing, quality, toxicity, warc
+from tallyforge.llm import decontam, html, jaccard, licenses, line_dedup, lm, merkle, packing, quality, toxicity, warc
 from tallyforge.sources.tables import load
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,8 +52,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_line_dedup, op5_packing, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_toxicity, op10_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_line_dedup, op5_packing, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_toxicity, op10_jaccard_join, op11_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL = {"op1_warc": warc.SQL, "op4_line_dedup": "WITH " + line_dedup.SQL.format(src="documents") + " SELECT doc_id, text, n_lines, n_removed FROM cut"}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op4_line_dedup": "WITH " + line_dedup.SQL.format(src="documents") + " SELECT doc_id, text, n_lines, n_removed FROM cut", "op11_merkle_manifest": merkle.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
