@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import decontam, html, jaccard, licenses, line_dedup, lm, merkle, packing, quality, secrets, toxicity, warc
+from tallyforge.llm import decontam, html, jaccard, licenses, line_dedup, lm, merkle, negatives, packing, quality, secrets, toxicity, warc
 from tallyforge.sources.tables import load
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,12 +57,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(load(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(load(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents")).drop("base", "linked")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_line_dedup, op5_packing, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_toxicity, op10_jaccard_join, op11_merkle_manifest, op13_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scoring, op3_license_scan, op4_line_dedup, op5_packing, op6_decontamination, op7_quality_rules, op8_html_extraction, op9_toxicity, op10_jaccard_join, op11_merkle_manifest, op12_hard_negatives, op13_secret_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL = {"op1_warc": warc.SQL, "op4_line_dedup": "WITH " + line_dedup.SQL.format(src="documents") + " SELECT doc_id, text, n_lines, n_removed FROM cut", "op11_merkle_manifest": merkle.SQL, "op13_secret_scan": secrets.SQL}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op4_line_dedup": "WITH " + line_dedup.SQL.format(src="documents") + " SELECT doc_id, text, n_lines, n_removed FROM cut", "op11_merkle_manifest": merkle.SQL, "op12_hard_negatives": negatives.SQL, "op13_secret_scan": secrets.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
