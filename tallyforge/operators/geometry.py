@@ -15,41 +15,73 @@ def crops(boxes: DataFrame, key: str, padding: int) -> DataFrame:
 
 
 def _cut(a: str, b: str) -> Column:
-    side = lambda f: F.greatest(F.lit(0), F.least(F.col(f"{a}.{f}") + F.col(f"{a}.rad"), F.col(f"{b}.{f}") + F.col(f"{b}.rad")) - F.greatest(F.col(f"{a}.{f}") - F.col(f"{a}.rad"), F.col(f"{b}.{f}") - F.col(f"{b}.rad")))
-    return (side("x") * side("y")).cast("long")
+    at = lambda t, f: F.col(f"{t}.{f}").cast("long")
+    side = lambda f: F.greatest(F.lit(0), F.least(at(a, f) + at(a, "rad"), at(b, f) + at(b, "rad")) - F.greatest(at(a, f) - at(a, "rad"), at(b, f) - at(b, "rad")))
+    return side("x") * side("y")
 
 
 def _areas(a: str, b: str) -> Column:
-    return (4 * F.col(f"{a}.rad") * F.col(f"{a}.rad") + 4 * F.col(f"{b}.rad") * F.col(f"{b}.rad")).cast("long")
+    square = lambda t: 4 * F.col(f"{t}.rad").cast("long") * F.col(f"{t}.rad").cast("long")
+    return square(a) + square(b)
 
 
-def _neighbours(boxes: DataFrame, reach: int) -> DataFrame:
-    """Pairs a, b of one image whose boxes can meet: cells of `reach`, each box in its own and looked for in the nine around."""
-    x, y = F.floor(F.col("x") / reach), F.floor(F.col("y") / reach)
-    a = boxes.select("image", F.struct("id", "x", "y", "rad").alias("a"), x.alias("cx"), y.alias("cy"))
-    around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((x + i).alias("cx"), (y + j).alias("cy")) for i in (-1, 0, 1)]) for j in (-1, 0, 1)]))).alias("cell")
-    b = boxes.select("image", F.struct("id", "x", "y", "rad").alias("b"), around).select("image", "b", "cell.cx", "cell.cy")
-    return a.join(b, ["image", "cx", "cy"]).where("a.id < b.id").select("image", "a", "b")
+def _neighbours(boxes: DataFrame) -> DataFrame:
+    """Pairs a, b (a.id < b.id) of one image whose boxes can meet, at any radius.
 
-
-def overlaps(boxes: DataFrame, most: int = 26) -> DataFrame:
-    """Pairs of an image's boxes that overlap, with the share of the union they have in common (in ten-thousandths); no radius is over `most`."""
-    p = _neighbours(boxes, 2 * most).withColumn("i", _cut("a", "b")).where("i > 0")
+    A hierarchical grid: the level of a box is the octave of its radius, and the cells of a level are four times its least radius, so a box is
+    narrower than a cell. A box lies in its own and the eight cells around it at its own level, and asks for its own cell at its level and at each coarser one that
+    the image has: of two boxes that meet, the lesser finds the greater.
+    """
+    level = F.length(F.bin(F.greatest(F.lit(1), F.floor("rad")).cast("long"))) - 1
+    b = boxes.withColumn("level", level)
+    cell = lambda f, l: F.floor(F.col(f) / F.call_function("shiftleft", F.lit(4).cast("long"), l))
+    has = b.groupBy("image").agg(F.collect_set("level").alias("levels"))  # 32 at most
+    asks = b.join(has, "image").withColumn("level2", F.explode(F.filter("levels", lambda l: l >= F.col("level"))))
+    one = F.struct("id", "x", "y", "rad")
+    asks = asks.select("image", one.alias("p"), F.col("level").alias("from"), F.col("level2").alias("level"), cell("x", F.col("level2")).alias("cx"), cell("y", F.col("level2")).alias("cy"))
+    near = [F.struct((cell("x", F.col("level")) + i).alias("cx"), (cell("y", F.col("level")) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    lies = b.select("image", one.alias("q"), "level", F.explode(F.array(*near)).alias("c")).select("image", "q", "level", "c.cx", "c.cy")
+    pairs = asks.join(lies, ["image", "level", "cx", "cy"]).where((F.col("from") < F.col("level")) | (F.col("p.id") < F.col("q.id")))
+    first = F.col("p.id") < F.col("q.id")
+    return pairs.select("image", F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"))
+
+
+def overlaps(boxes: DataFrame) -> DataFrame:
+    """Pairs of an image's boxes that overlap, with the share of the union they have in common (in ten-thousandths)."""
+    p = _neighbours(boxes).withColumn("i", _cut("a", "b")).where("i > 0")
     return p.select("image", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.floor(10_000 * F.col("i") / (_areas("a", "b") - F.col("i"))).alias("iou"))
 
 
-def nms(boxes: DataFrame, near: int = 55, iou: int = 58, most: int = 26) -> DataFrame:
+def completeness(x: Column, y: Column, rad: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """Whether a card's disc and the boxes of its name and level lie within bounds: complete, invalid (beside them), partial_top or partial_bottom (in this order of precedence).
+
+    Offsets and sizes as shares of the radius are fixed values; boxes of text are at least 12 high, and places are cut to whole numbers towards zero.
+    """
+    whole = lambda c: c.cast("long")
+    tall = lambda share: F.greatest(F.lit(12), whole(rad * share))
+    parts = [
+        (x - rad, y - rad, rad * 2, rad * 2),
+        (whole(x - rad * 0.92), whole(y + rad * 1.08), whole(rad * 1.84), tall(0.62)),
+        (whole(x + rad * 0.02), whole(y - rad * 1.06), whole(rad * 1.08), tall(0.58)),
+    ]
+    least = lambda k: F.least(*[p[k] for p in parts])
+    most = lambda k: F.greatest(*[p[k] + p[k + 2] for p in parts])
+    return F.when((least(0) < left) | (most(0) > right), "invalid").when(least(1) < top, "partial_top").when(most(1) > bottom, "partial_bottom").otherwise("complete")
+
+
+def nms(boxes: DataFrame, near: int = 55, iou: int = 58) -> DataFrame:
     """(image, id) of the boxes that stay: the largest first, on ties the least id; one goes if a box that stays is too near or too alike.
 
     Two boxes collide if their centres are at most `near` % of the lesser radius apart or the share in common is at least `iou` %. In each round,
     boxes without a stronger rival left stay and their rivals go, which is what taking them one by one gives.
     """
     a, b = F.col("a"), F.col("b")
-    gap = ((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])).cast("long")
+    off = lambda f: (a[f] - b[f]).cast("long")
+    gap = off("x") * off("x") + off("y") * off("y")
     small = F.least(a["rad"], b["rad"]).cast("long")
     cut = _cut("a", "b")
-    clash = (10_000 * gap <= near * near * small * small) | (100 * cut >= iou * (_areas("a", "b") - cut))
-    p = _neighbours(boxes, 2 * most).where(clash)
+    clash = (10_000 * gap <= near * near * small * small) | ((cut > 0) & (100 * cut >= iou * (_areas("a", "b") - cut)))
+    p = _neighbours(boxes).where(clash)
     first = (a["rad"] > b["rad"]) | ((a["rad"] == b["rad"]) & (a["id"] < b["id"]))
     edges = p.select("image", F.when(first, a["id"]).otherwise(b["id"]).alias("strong"), F.when(first, b["id"]).otherwise(a["id"]).alias("weak"))
     with Scratch(boxes.sparkSession, "nms") as tmp:

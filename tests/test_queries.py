@@ -15,7 +15,7 @@ def plain(rows):
     return sorted(([None if v is None else v if isinstance(v, int) else round(v, 9) if isinstance(v, float) else str(v) for v in r] for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
