@@ -46,12 +46,12 @@ def greedy_match(scored: DataFrame, key: str) -> DataFrame:
     """(key, a, b, score) -> one-to-one pairs, the best score first, on ties the least a, then the least b.
 
     Each round takes the pairs that are the best of both of their ends, which are those that taking pairs one by one would take,
-    and leaves out the pairs that touch them; every round ends at least one pair of each key that has any left.
+    and leaves out the pairs that touch them; every round ends at least one pair of each key that has any left. Pairs with a null in any column are no pairs.
     """
     order = F.struct("score", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
     taken = None
     with Scratch(scored.sparkSession, "match") as tmp:
-        rest = last = tmp.written(scored.select(key, "a", "b", "score"), "scored")
+        rest = last = tmp.written(scored.select(key, "a", "b", "score").dropna(), "scored")
         while True:
             best_a = rest.groupBy(key, "a").agg(F.max(order).alias("o")).select(key, "a", (-F.col("o.nb")).alias("b"))
             best_b = rest.groupBy(key, "b").agg(F.max(order).alias("o")).select(key, (-F.col("o.na")).alias("a"), "b")

@@ -261,12 +261,15 @@ def loadout_repair(spark, d):
 REQ = f"{SLOTTED}, req AS (SELECT operator, CAST(i AS INT) AS ordinal, kind, name FROM (SELECT l.operator, i, v.kind, v.name FROM lo l, (SELECT unnest(range(0, 5)) AS i) JOIN inv v ON v.instance = l.operator * 3 + CASE i WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 7 ELSE 10 END))"
 
 
-@query(f"""WITH {REQ}, worn AS (SELECT operator, kind, name, instance, row_number() OVER (PARTITION BY operator, kind, name ORDER BY slot) AS n FROM held JOIN inv USING (instance) WHERE starts_with(slot, kind)),
- need AS (SELECT r.*, w.instance AS own FROM (SELECT *, row_number() OVER (PARTITION BY operator, kind, name ORDER BY ordinal) AS n FROM req) r LEFT JOIN worn w USING (operator, kind, name, n)),
- k AS (SELECT *, row_number() OVER (PARTITION BY operator, kind, name, own IS NULL ORDER BY ordinal) AS j, row_number() OVER (PARTITION BY operator, kind ORDER BY own IS NULL, ordinal) AS slot FROM need),
- free AS (SELECT kind, name, instance, row_number() OVER (PARTITION BY kind, name ORDER BY level DESC, quality DESC, instance) AS j FROM inv WHERE instance NOT IN (SELECT instance FROM held)),
- x AS (SELECT k.operator, ordinal, kind, name, slot, coalesce(own, CASE WHEN slot <= 3 AND own IS NULL THEN f.instance END) AS instance FROM k LEFT JOIN free f USING (kind, name, j))
- SELECT operator, ordinal, instance, CASE WHEN instance IS NOT NULL THEN NULL WHEN slot > 3 THEN 'no_slot' WHEN EXISTS (SELECT 1 FROM held JOIN inv USING (instance) WHERE inv.kind = x.kind AND inv.name = x.name AND held.operator <> x.operator) THEN 'occupied' ELSE 'missing' END AS reason FROM x""")
+@query(f"""WITH RECURSIVE {REQ}, worn AS (SELECT operator, instance, min(slot) AS slot, any_value(kind) AS kind, any_value(name) AS name FROM held JOIN inv USING (instance) GROUP BY 1, 2),
+ own AS (SELECT r.operator, r.ordinal, w.instance, w.slot FROM (SELECT *, row_number() OVER (PARTITION BY operator, kind, name ORDER BY ordinal) AS n FROM req) r JOIN (SELECT *, row_number() OVER (PARTITION BY operator, kind, name ORDER BY slot) AS n FROM worn) w USING (operator, kind, name, n)),
+ rq AS (SELECT r.*, own.instance AS own, row_number() OVER (PARTITION BY r.operator ORDER BY r.ordinal) AS k FROM req r LEFT JOIN own USING (operator, ordinal)),
+ pool AS (SELECT kind, name, list(instance ORDER BY level DESC, quality DESC, instance) AS ids FROM inv WHERE instance NOT IN (SELECT instance FROM held) GROUP BY 1, 2),
+ steps AS (SELECT rq.*, coalesce(pool.ids, []) AS ids FROM rq LEFT JOIN pool USING (kind, name)),
+ st AS (SELECT l.operator, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS ordinal, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS name, CAST([] AS BIGINT[]) AS used, 3 - count(slot) FILTER (starts_with(slot, 'main')) AS m, 3 - count(slot) FILTER (starts_with(slot, 'support')) AS s, CAST(NULL AS BIGINT) AS instance, CAST(NULL AS BOOLEAN) AS full_ FROM lo l LEFT JOIN own USING (operator) GROUP BY l.operator
+  UNION ALL SELECT operator, k, ordinal, kind, name, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, m - CASE WHEN pick IS NOT NULL AND kind = 'main' THEN 1 ELSE 0 END, s - CASE WHEN pick IS NOT NULL AND kind <> 'main' THEN 1 ELSE 0 END, coalesce(own, pick), own IS NULL AND room = 0
+   FROM (SELECT *, CASE WHEN own IS NULL AND room > 0 THEN list_filter(ids, lambda i: NOT list_contains(used, i))[1] END AS pick FROM (SELECT p.operator, p.k, p.ordinal, p.kind, p.name, p.own, p.ids, st.used, st.m, st.s, CASE WHEN p.kind = 'main' THEN st.m ELSE st.s END AS room FROM st JOIN steps p ON p.operator = st.operator AND p.k = st.k + 1)))
+ SELECT operator, ordinal, instance, CASE WHEN instance IS NOT NULL THEN NULL WHEN full_ THEN 'no_slot' WHEN EXISTS (SELECT 1 FROM held JOIN inv USING (instance) WHERE inv.kind = st.kind AND inv.name = st.name AND held.operator <> st.operator) THEN 'occupied' ELSE 'missing' END AS reason FROM st WHERE k > 0""")
 def loadout_suggestion(spark, d):
     inv, lo = _slotted(spark, d)
     at = F.posexplode(F.array(F.lit(1), F.lit(1), F.lit(0), F.lit(7), F.lit(10))).alias("ordinal", "_d")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _number(content: Column, at: int, size: int) -> Column:
@@ -16,21 +18,41 @@ def png_size(content: Column) -> Column:
     return F.when(ok, F.struct(_number(content, 17, 4).alias("width"), _number(content, 21, 4).alias("height")))
 
 
-def jpeg_size(content: Column) -> Column:
-    """struct<width, height> of a JPEG: the first frame header after its segments, in hexadecimal text, else NULL.
+#: Markers that stand alone: a restart, the start and the end of an image, and a private one. Frame headers are C0 to CF but for three tables among them.
+_ALONE = {0x01, 0xD8, 0xD9, *range(0xD0, 0xD8)}
+_FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+
+
+def _frame(data: bytes) -> tuple[int, int] | None:
+    """(width, height) of the first frame header, found by going from segment to segment by their lengths, so what is inside a segment (a thumbnail) isn't looked at."""
+    at, end = 2, len(data)
+    while at + 9 <= end and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker in _ALONE:
+            at += 2
+        elif marker in _FRAMES:
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
 
-    Segments before the frame are skipped by their marker (FFC0 to FFCF but for C4, C8 and CC) preceded by whole segments.
-    """
-    h = F.hex(F.substring(content, 1, 65536))
-    at = F.regexp_instr(h, F.lit("FF(?:C0|C1|C2|C3|C5|C6|C7|C9|CA|CB|CD|CE|CF)0011"))
-    num = lambda k: F.conv(F.substring(h, at + k, F.lit(4)), 16, 10).cast("long")
-    return F.when((F.substring(h, 1, 4) == "FFD8") & (at > 0), F.struct(num(14).alias("width"), num(10).alias("height")))
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
+def _jpeg_size(content: pd.Series) -> pd.DataFrame:
+    sizes = [_frame(c) if c is not None and c[:2] == b"\xff\xd8" else None for c in content]
+    return pd.DataFrame([s or (None, None) for s in sizes], columns=["width", "height"], dtype="Int64")
+
+
+def jpeg_size(content: Column) -> Column:
+    """struct<width, height> of a JPEG of any kind (grey, colour, four inks; baseline, progressive), its fields NULL if there is no frame header."""
+    return _jpeg_size(content)
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, width, height, rejected) of each file: wrong suffixes and unreadable sizes are rejected with their reason."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    size = F.coalesce(png_size(F.col("content")), jpeg_size(F.col("content")))
-    x = f.select("path", "length", size.alias("s"))
+    x = f.select("path", "length", png_size(F.col("content")).alias("png"), jpeg_size(F.col("content")).alias("jpeg")).select("path", "length", F.coalesce("png", "jpeg").alias("s"))
     why = F.when(~F.lower("path").rlike(r"\.(?:png|jpe?g)$"), "suffix").when(F.coalesce(F.col("s.width") * F.col("s.height"), F.lit(0)) == 0, "unreadable")
     return x.select("path", "length", F.col("s.width").alias("width"), F.col("s.height").alias("height"), why.alias("rejected"))
