@@ -15,6 +15,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from tallyforge.operators.inventory import newest
 
 MOST_CHANGES = 1000
 POINTS = "restore_points"
+BATCHES = "saved_batches"
 _POINT = "restore_point_id string, reason string, created_at string, account_revision long, version string"
 _MAP = "store_acct string, store_ver string, account_revision long"
 _PLACE = StructType([StructField("store_ver", StringType()), StructField("store_acct", StringType())])
@@ -218,6 +220,53 @@ class Workspace:
                 if self.revision() == revision:  # not another commit, so trying again is no use
                     raise
 
+    def commit_accounts(self, tables: Callable[[], dict[str, DataFrame]], source: str | None = None, batch: int | None = None) -> int:
+        """Commit many accounts' rows as one revision of the store: of every account that occurs in `tables`, the tables given are replaced and the others stay.
+
+        tables is asked anew when another commit comes in between, so it may depend on what the store has. With a source and a batch number, accounts
+        that already took that batch, or a later one, of the source are left out: a batch that is run again commits nothing twice. The keys of the accounts of
+        one such commit pass through the driver while they are MOST_CHANGES or fewer; more are merged into the map as a table.
+        """
+        while True:
+            now = self.revision()
+            state, given = self._state(now), tables()
+            keys = None
+            for t in given.values():
+                own = t.select(_key_of(F.col("account_id")).alias("store_acct"), F.col("account_id").cast("string").alias("account_id"))
+                keys = own if keys is None else keys.unionByName(own)
+            keys = keys.distinct()
+            if source is not None:
+                if BATCHES in state.tables:
+                    saved = self.table(BATCHES, revision=now).where((F.col("source") == source) & (F.col("batch") >= batch))
+                    keys = keys.join(saved.select(_key_of(F.col("account_id")).alias("store_acct")), "store_acct", "left_anti")
+                mark = keys.select("account_id", F.lit(source).alias("source"), F.lit(batch).cast("long").alias("batch"))
+                if BATCHES in state.tables:
+                    mark = mark.unionByName(self._of(self.table(BATCHES, revision=now), keys).where(F.col("source") != source))
+                given = given | {BATCHES: mark}
+            keys = keys.select("store_acct")
+            few = keys.limit(MOST_CHANGES + 1).collect()
+            if not few:
+                return now
+            rows = {n: self._of(t, keys) for n, t in given.items()} | {n: self._of(self.table(n, revision=now), keys) for n in state.tables if n not in given}
+            version = self._write(rows)
+            revisions = self._live(state).select("store_acct", "account_revision")
+            schemas = {n: t.schema.json() for n, t in given.items() if n not in state.tables}
+            after = keys.join(revisions, "store_acct", "left").select("store_acct", F.lit(version).alias("store_ver"), (F.coalesce("account_revision", F.lit(0)) + 1).alias("account_revision"))
+            if len(few) + len(state.changes) <= MOST_CHANGES:
+                changed = replace(state, tables=state.tables | schemas, changes=state.changes | {r.store_acct: (r.store_ver, r.account_revision) for r in after.collect()})
+            else:
+                rest = self._live(state).join(keys, "store_acct", "left_anti")
+                changed = _State(state.tables | schemas, self._map(rest.unionByName(after)), {})
+            try:
+                self._publish(now + 1, changed)
+                return now + 1
+            except StaleRevision:
+                if self.revision() == now:
+                    raise
+
+    def _of(self, t: DataFrame, keys: DataFrame) -> DataFrame:
+        return t.withColumn("store_acct", _key_of(F.col("account_id"))).join(keys.select("store_acct"), "store_acct", "left_semi").drop("store_acct")
+
     def delete_account(self, account: object) -> int:
         """Cascade: every table without the account's rows, as a new revision of the store."""
         now = self.revision()
