@@ -1,24 +1,35 @@
-"""Benchmark decontamination by windows one shingle wide, where a SimHash is the shingle's hash.
+"""Benchmark decontamination by SimHash of item-sized windows.
 
-A span of a text holds an item if the multiset Jaccard of their five-word shingles reaches SIMILARITY; the span may be of any length,
-so added and lost words count as well as replaced ones. Such a span lacks at most k - ceil(SIMILARITY k) of an item's k shingles, so one
-more than that, the rarest in the benchmark, are the item's windows: at least one is in the text unedited, and no copy is missed but by
-the hash. Around a window that is met, the best span is found. The benchmark is broadcast only below MAX_ITEM_BYTES, else the query fails and says so.
-Null texts and items have no words and match nothing; items of under five words match as one shingle; repeated rows give a row each.
+A span of a text holds an item if the multiset Jaccard of their five-word shingles reaches SIMILARITY; the span may be of any length, so added and lost words count as well as replaced ones.
+
+Candidates: the features of a window are its words, each as often as it is there, so one changed word of a window of n moves about acos(1 - 1/n) / pi of the BITS bits. An item's windows are
+its head and its tail, of the greatest length of LENGTHS that it has room for (an eighth shorter than the item at most, so an edit near one end leaves the other window whole). A text is
+fingerprinted at every word for each of the lengths. Fingerprints are cut into BLOCKS blocks; two within RADIUS differ in one of the blocks by ERRORS bits at most, so the items' blocks are indexed with
+all their neighbours of that many bits, and a window that meets none of them is farther than RADIUS from all items: the index loses no fingerprint within the radius.
+Verification: around each candidate, the span with the greatest Jaccard is found exactly, so nothing is reported that isn't there.
+
+The benchmark is taken in parts of PART items by item_id, each a broadcast of at most about 70 MB at any size of the benchmark; an item with several texts has its best similarity. Texts are whole, in pieces that
+overlap by the longest window. Null texts and items have no words and match nothing; items of under five words match as one shingle; repeated rows give a row each; ties have the same similarity.
+`Items` is the exact search without fingerprints, by which recall is measured.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.text import mapped, shingles, word_hashes
+from tallyforge.llm.text import U, mapped, mix, shingles, word_hashes
 
-SIMILARITY, N, MAX_ITEM_BYTES = 0.8, 5, 16 << 20
+SIMILARITY, N = 0.8, 5
+BITS, BLOCKS, ERRORS = 128, 6, 2
+RADIUS = BLOCKS * (ERRORS + 1) - 1
+PART, PIECE = 2000, 1 << 15
 
 
 def best(text: np.ndarray, item: np.ndarray) -> float:
@@ -109,14 +120,150 @@ class Items:
         return out
 
 
+def window_length(words: int) -> int:
+    """The greatest of 1, 2, ... 16, 18, 20, ... (steps of about an eighth) that is not above `words`."""
+    if words <= 16:
+        return words
+    n = 16
+    while n + n // 8 <= words:
+        n += n // 8
+    return n
+
+
+def word_bits(h: np.ndarray) -> np.ndarray:
+    """(words, BITS) of 0 and 1: two mixed halves of each word's hash."""
+    both = np.stack([mix(h), mix(h ^ U(0x9E3779B97F4A7C15))], axis=1)
+    return np.unpackbits(both.view(np.uint8).reshape(len(h), BITS // 8), axis=1)
+
+
+class Sums:
+    """Running counts of set bits, from which the fingerprint of any window comes; 16 bits wrap, but differences don't for windows below 2**15."""
+
+    def __init__(self, h: np.ndarray):
+        self.s = np.zeros((len(h) + 1, BITS), np.int16)
+        np.cumsum(word_bits(h), axis=0, dtype=np.int16, out=self.s[1:])
+
+    def fingerprints(self, n: int) -> np.ndarray:
+        """(windows, 2) of 64 bits: a bit is set if more than half of the window's words have it."""
+        more = (self.s[n:] - self.s[:-n]) > n // 2
+        return np.packbits(more, axis=1).view(U).reshape(-1, BITS // 64)
+
+
+_CUTS = [(round(k * BITS / BLOCKS), round((k + 1) * BITS / BLOCKS)) for k in range(BLOCKS)]
+
+
+def blocks(f: np.ndarray, k: int) -> np.ndarray:
+    """The k-th block of each fingerprint, as a number."""
+    lo, hi = _CUTS[k]
+    word, at, wide = lo // 64, lo % 64, U((1 << (hi - lo)) - 1)
+    x = f[:, word] >> U(at)
+    if at + hi - lo > 64:
+        x = x | (f[:, word + 1] << U(64 - at))
+    return x & wide
+
+
+def _near(width: int) -> np.ndarray:
+    """All masks of ERRORS set bits at most."""
+    return np.array([sum(1 << b for b in c) for e in range(ERRORS + 1) for c in combinations(range(width), e)], U)
+
+
+class Block:
+    """Numbers of one block with the windows that have them or a neighbour of them."""
+
+    def __init__(self, values: np.ndarray, width: int):
+        near = _near(width)
+        keys = (values[:, None] ^ near).ravel()
+        owner = np.repeat(np.arange(len(values), dtype=np.int32), len(near))
+        order = np.argsort(keys, kind="stable")
+        self.owner = owner[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.mask = U((1 << max(16, len(keys).bit_length() + 5)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[mix(self.keys) & self.mask if width > 26 else self.keys & self.mask] = True
+        self.mixed = width > 26
+
+    def meet(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x and, with each, the windows that are near in this block."""
+        at = np.flatnonzero(self.table[(mix(x) if self.mixed else x) & self.mask])
+        k = np.minimum(np.searchsorted(self.keys, x[at]), len(self.keys) - 1)
+        hit = self.keys[k] == x[at]
+        at, k = at[hit], k[hit]
+        n = self.first[k + 1] - self.first[k]
+        return np.repeat(at, n), self.owner[np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+
+
+class Fingerprints:
+    """The fingerprints of items, and the search of texts for them."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        hs = [(i, h) for i, t in rows if len(h := word_hashes(t, lower=True))]
+        self.ids = [i for i, _ in hs]
+        self.sets = [shingles(h, N) for _, h in hs]
+        self.words = [len(h) for _, h in hs]
+        own: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for j, (_, h) in enumerate(hs):
+            n = window_length(len(h))
+            own[n] += [(j, part) for part in ([h] if n == len(h) else [h[:n], h[-n:]])]
+        self.lengths = {}
+        for n, windows in sorted(own.items()):
+            f = np.concatenate([Sums(h).fingerprints(n) for _, h in windows])
+            self.lengths[n] = (f, np.array([j for j, _ in windows]), [Block(blocks(f, k), hi - lo) for k, (lo, hi) in enumerate(_CUTS)])
+        self.longest = max(self.lengths, default=0)
+
+    def candidates(self, h: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Window length, places and items of all windows within RADIUS of an item's. inside: for each word, where its text ends in h."""
+        sums = Sums(h)
+        for n, (known, item, index) in self.lengths.items():
+            if len(h) < n:
+                continue
+            f = sums.fingerprints(n)
+            places, owners = zip(*[b.meet(blocks(f, k)) for k, b in enumerate(index)])
+            pair = np.unique(np.concatenate(places).astype(np.int64) * len(known) + np.concatenate(owners))
+            at, own = pair // len(known), pair % len(known)
+            near = (inside[at] >= at + n) & (np.bitwise_count(f[at] ^ known[own]).sum(1) <= RADIUS)
+            yield n, at[near], item[own[near]]
+
+    def find(self, texts: list[str | None]) -> list[dict[int, float]]:
+        """item_id: similarity, of the items in each text."""
+        hs = [word_hashes(t, lower=True) for t in texts]
+        h = np.concatenate([*hs, np.empty(0, U)])
+        ends = np.cumsum([len(x) for x in hs])
+        text = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+        inside = np.repeat(ends, [len(x) for x in hs])
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for lo in range(0, len(h), PIECE):
+            hi = min(len(h), lo + PIECE + self.longest - 1)
+            for n, at, items in self.candidates(h[lo:hi], inside[lo:hi] - lo):
+                for p, j in zip((at + lo).tolist(), items.tolist()):
+                    spans[text[p], j].append((p, n))
+        out: list[dict[int, float]] = [{} for _ in texts]
+        for (t, j), places in spans.items():
+            item, n = self.sets[j], min(N, self.words[j])
+            begin, end = ends[t] - len(hs[t]), ends[t]
+            reach, top, k = math.floor(len(item) / SIMILARITY + 1e-9) + n - 1, 0.0, 0
+            places.sort()
+            while k < len(places) and top < 1:
+                # any span that meets the window
+                lo, hi = max(begin, places[k][0] - reach), places[k][0] + places[k][1] + reach
+                while k < len(places) and places[k][0] - reach <= hi:
+                    hi = places[k][0] + places[k][1] + reach
+                    k += 1
+                part = h[lo : min(end, hi)]
+                if len(part) >= n:
+                    top = max(top, best(shingles(part, n), item))
+            if top:
+                out[t][self.ids[j]] = max(top, out[t].get(self.ids[j], 0.0))
+        return out
+
+
 def load_items(benchmark: DataFrame) -> list:
-    """Broadcasts of Items, each of about MAX_ITEM_BYTES of text at most."""
+    """Broadcasts of Fingerprints of PART items each, about; all texts of an item are in one."""
     b = benchmark.where("text is not null").select("item_id", "text")
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(2 * size / MAX_ITEM_BYTES)) if size > MAX_ITEM_BYTES else 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    parts = max(1, math.ceil(b.count() / PART))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     each = ([(r.item_id, r.text) for r in b.where(part == k).orderBy("item_id", "text").toLocalIterator()] for k in range(parts))
-    return [benchmark.sparkSession.sparkContext.broadcast(Items(rows)) for rows in each]
+    return [benchmark.sparkSession.sparkContext.broadcast(Fingerprints(rows)) for rows in each]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -125,7 +272,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def maker(items):
         def make():
             def work(texts):
-                found = [(k, i, s) for k, t in enumerate(texts) for i, s in items.value.find(t).items()]
+                found = [(k, i, s) for k, own in enumerate(items.value.find(texts)) for i, s in own.items()]
                 return [x[0] for x in found], [[x[1] for x in found], [x[2] for x in found]]
 
             return work
@@ -144,7 +291,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def maker(items):
         def make():
-            return lambda texts: ([k for k, t in enumerate(texts) if not items.value.find(t)], [])
+            return lambda texts: ([k for k, own in enumerate(items.value.find(texts)) if not own], [])
 
         return make
 
