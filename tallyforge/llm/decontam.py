@@ -2,13 +2,13 @@
 
 A span of a text holds an item if the multiset Jaccard of their five-word shingles reaches SIMILARITY; the span may be of any length, so added and lost words count as well as replaced ones.
 
-Candidates: the features of a window are its words, each as often as it is there, so one changed word of a window of n moves about acos(1 - 1/n) / pi of the BITS bits. An item's windows are
-its head and its tail, of the greatest length of LENGTHS that it has room for (an eighth shorter than the item at most, so an edit near one end leaves the other window whole). A text is
-fingerprinted at every word for each of the lengths. Fingerprints are cut into BLOCKS blocks; two within RADIUS differ in one of the blocks by ERRORS bits at most, so the items' blocks are indexed with
+Candidates: the features of a window are its words, each as often as it is there, so one changed word of a window of n moves about acos(1 - 1/n) / pi of the BITS bits. Windows have
+the lengths of `window_length`, steps of about an eighth. A text is fingerprinted at every `step`-th word (an eighth of the length) for each length that items have; an item has windows at that many
+consecutive words from its head on and up to its tail, so one of each is in step with a copy wherever it is, and an edit near one end leaves the windows at the other whole. Fingerprints are cut into BLOCKS blocks; two within RADIUS differ in one of the blocks by ERRORS bits at most, so the items' blocks are indexed with
 all their neighbours of that many bits, and a window that meets none of them is farther than RADIUS from all items: the index loses no fingerprint within the radius.
 Verification: around each candidate, the span with the greatest Jaccard is found exactly, so nothing is reported that isn't there.
 
-The benchmark is taken in parts of PART items by item_id, each a broadcast of at most about 70 MB at any size of the benchmark; an item with several texts has its best similarity. Texts are whole, in pieces that
+The benchmark is taken in parts of PART items by item_id, each a broadcast of some ten MB at any size of the benchmark; an item with several texts has its best similarity. Texts are whole, in pieces that
 overlap by the longest window. Null texts and items have no words and match nothing; items of under five words match as one shingle; repeated rows give a row each; ties have the same similarity.
 `Items` is the exact search without fingerprints, by which recall is measured.
 """
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.text import U, mapped, mix, shingles, word_hashes
 
 SIMILARITY, N = 0.8, 5
-BITS, BLOCKS, ERRORS = 128, 6, 2
+BITS, BLOCKS, ERRORS, STEPS = 64, 3, 2, 8
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-PART, PIECE = 2000, 1 << 15
+PART, PIECE = 500, 1 << 14
 
 
 def best(text: np.ndarray, item: np.ndarray) -> float:
@@ -121,18 +121,21 @@ class Items:
 
 
 def window_length(words: int) -> int:
-    """The greatest of 1, 2, ... 16, 18, 20, ... (steps of about an eighth) that is not above `words`."""
-    if words <= 16:
-        return words
-    n = 16
-    while n + n // 8 <= words:
-        n += n // 8
-    return n
+    """The greatest of 1, 2, ... 16, 18, 20, ... (steps of about an eighth) that leaves room for its windows in an item of that many words."""
+    n = best = 1
+    while n + step(n) - 1 <= words:
+        best, n = n, n + max(1, n // 8)
+    return best
+
+
+def step(length: int) -> int:
+    """Texts are fingerprinted at every step-th word; items have windows at that many consecutive words, so one of them is always in step with a copy."""
+    return max(1, length // STEPS)
 
 
 def word_bits(h: np.ndarray) -> np.ndarray:
-    """(words, BITS) of 0 and 1: two mixed halves of each word's hash."""
-    both = np.stack([mix(h), mix(h ^ U(0x9E3779B97F4A7C15))], axis=1)
+    """(words, BITS) of 0 and 1: the word's hash, mixed anew for each 64 bits."""
+    both = np.stack([mix(h ^ U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(BITS // 64)], axis=1)
     return np.unpackbits(both.view(np.uint8).reshape(len(h), BITS // 8), axis=1)
 
 
@@ -143,9 +146,9 @@ class Sums:
         self.s = np.zeros((len(h) + 1, BITS), np.int16)
         np.cumsum(word_bits(h), axis=0, dtype=np.int16, out=self.s[1:])
 
-    def fingerprints(self, n: int) -> np.ndarray:
-        """(windows, 2) of 64 bits: a bit is set if more than half of the window's words have it."""
-        more = (self.s[n:] - self.s[:-n]) > n // 2
+    def fingerprints(self, n: int, step: int = 1) -> np.ndarray:
+        """(windows, BITS / 64) of 64 bits, for every step-th window: a bit is set if more than half of the window's words have it."""
+        more = (self.s[n::step] - self.s[:-n:step]) > n // 2
         return np.packbits(more, axis=1).view(U).reshape(-1, BITS // 64)
 
 
@@ -204,7 +207,9 @@ class Fingerprints:
         own: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for j, (_, h) in enumerate(hs):
             n = window_length(len(h))
-            own[n] += [(j, part) for part in ([h] if n == len(h) else [h[:n], h[-n:]])]
+            # head and tail, each at as many words as a text's windows are apart
+            at = {*range(step(n)), *range(len(h) - n - step(n) + 1, len(h) - n + 1)}
+            own[n] += [(j, h[p : p + n]) for p in sorted(at)]
         self.lengths = {}
         for n, windows in sorted(own.items()):
             f = np.concatenate([Sums(h).fingerprints(n) for _, h in windows])
@@ -217,12 +222,14 @@ class Fingerprints:
         for n, (known, item, index) in self.lengths.items():
             if len(h) < n:
                 continue
-            f = sums.fingerprints(n)
+            f = sums.fingerprints(n, step(n))
             places, owners = zip(*[b.meet(blocks(f, k)) for k, b in enumerate(index)])
             pair = np.unique(np.concatenate(places).astype(np.int64) * len(known) + np.concatenate(owners))
             at, own = pair // len(known), pair % len(known)
-            near = (inside[at] >= at + n) & (np.bitwise_count(f[at] ^ known[own]).sum(1) <= RADIUS)
-            yield n, at[near], item[own[near]]
+            near = np.bitwise_count(f[at] ^ known[own]).sum(1) <= RADIUS
+            at, own = at[near] * step(n), own[near]
+            whole = inside[at] >= at + n
+            yield n, at[whole], item[own[whole]]
 
     def find(self, texts: list[str | None]) -> list[dict[int, float]]:
         """item_id: similarity, of the items in each text."""
@@ -232,8 +239,9 @@ class Fingerprints:
         text = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
         inside = np.repeat(ends, [len(x) for x in hs])
         spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        # a window of a piece's first words is in step from the piece's own beginning on
         for lo in range(0, len(h), PIECE):
-            hi = min(len(h), lo + PIECE + self.longest - 1)
+            hi = min(len(h), lo + PIECE + self.longest - 1 + step(self.longest))
             for n, at, items in self.candidates(h[lo:hi], inside[lo:hi] - lo):
                 for p, j in zip((at + lo).tolist(), items.tolist()):
                     spans[text[p], j].append((p, n))

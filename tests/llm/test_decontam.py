@@ -67,14 +67,14 @@ def test_fingerprints_within_the_radius_are_never_lost():
     rng = random.Random(8)
     items = [[word(rng) for _ in range(rng.choice([4, 12, 17, 30, 44, 59]))] for _ in range(60)]
     known = decontam.Fingerprints([(i, " ".join(w)) for i, w in enumerate(items)])
-    text = [x for i in rng.choices(range(60), k=80) for x in edited(rng, items[i], rng.randrange(7)) + [word(rng)] * rng.randrange(4)]
+    text = [x for i in rng.choices(range(60), k=300) for x in edited(rng, items[i], rng.randrange(7)) + [word(rng)] * rng.randrange(4)]
     h = decontam.word_hashes(" ".join(text))
     got = {(n, int(p), int(j)) for n, at, own in known.candidates(h, decontam.np.full(len(h), len(h))) for p, j in zip(at, own)}
     want = set()
     for n, (f, item, _) in known.lengths.items():
-        mine = decontam.Sums(h).fingerprints(n)
+        mine = decontam.Sums(h).fingerprints(n, decontam.step(n))
         far = decontam.np.bitwise_count(mine[:, None] ^ f[None]).sum(2)
-        want |= {(n, int(p), int(item[o])) for p, o in zip(*decontam.np.nonzero(far <= decontam.RADIUS))}
+        want |= {(n, int(p) * decontam.step(n), int(item[o])) for p, o in zip(*decontam.np.nonzero(far <= decontam.RADIUS))}
     assert got == want and len(want) > 200
 
 
