@@ -1,17 +1,19 @@
 """Main text by a site style tree.
 
-The DOMs of one host are merged by their paths (tags with class, id and role); branches that a tag, role, class or attribute marks as noise go
-in any case. A page is known by its other blocks, so copies count once, whatever their ids, urls, scripts or noise.
-
-Importance of content: a wording at a path that c of the host's m distinct pages have is spread evenly over them, so its entropy is
-log(c) / log(m) and its importance 1 less that; a path's content is worth the mean over its wordings. Importance of presentation: the entropy of
-the sequences of children that an element shows, to the base of the pages that have it. Composite importance of a branch: that of its
-l presentations weighs 1 - GAMMA^l, the mean of its content and its child branches the rest; a page weighs its own branches.
-On pages with any wording or path of low importance, wordings of low importance go wherever they are, and so do whole branches of low
-composite importance, but for those that hold the page's main path (the one with the most text, each wording weighed by its importance).
+The DOMs of one host are merged by their paths (tags with class, id and role). A page is known by its blocks without evident boilerplate, so copies count once, whatever their ids, urls, scripts or menus.
+Entropies, per host:
+
+Content: a wording at a path that c of the host's m distinct pages have is spread evenly over them, so its entropy is log(c) / log(m) and its importance 1 less that; a path's content is worth the mean over its wordings.
+Presentation: the entropy of the sequences of children that an element shows, to the base of the pages that have it. An element that most pages have, always in one presentation, is part of the template:
+template = share of pages that have it * (1 - presentation entropy) * (1 - 1 / m). Its weight is what it holds beside the main path (the one with the most text, that of branches with evidence against them counting less): the greater of the ratios of their text and of the mean length of their blocks,
+1 at most. Importance = (weight + (1 - weight) * (1 - template)) * (1 - evidence), and branches below LEAST go. Evidence comes from tags, roles and parts of names, and may only lower a branch's importance; with
+`names=False` there is none and the tree decides alone. The host's main path and what leads to it never go, nor do headings and paragraphs that no evidence speaks against: no name empties a host's pages.
+A page without the main path that has nothing but its host's template is empty. Decisions are taken once per host and layout (set of paths), on sums over the host.
+
+In what stays, repeated wordings: composite importance of a branch has that of its l presentations weigh 1 - GAMMA^l, the mean of its content and its child branches the rest. On pages with any wording or path of
+low importance, wordings of low importance go wherever they are, and so do whole branches of low composite importance, but for those that hold the page's main path.
 Beside the main path, in the element that holds it, a wording must be on nearly every page (importance below SURE) to go: articles may share passages.
-If less than LEFT of a page's text would stay, the page is a near copy rather than an article among boilerplate, and all of it stays.
-Hosts of fewer than PAGES distinct pages show no repetition that isn't a copy.
+If less than LEFT of a page's text would stay, the page is a near copy rather than an article among boilerplate, and all repeated wordings stay. Hosts of one page show no repetition.
 
 Null html is empty; a null url is a host of its own; pages are read whole however long, in linear time; repeated pages give a row each;
 extra columns are ignored. An empty table gives an empty one.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 from html import unescape
 
 import xxhash
@@ -30,17 +33,23 @@ from pyspark.sql import functions as F
 from tallyforge.llm.text import mapped
 from tallyforge.sources.tables import Scratch, written
 
-PAGES, LEAST, SURE, LEFT, GAMMA = 3, 0.5, 0.1, 0.25, 0.9
+PAGES, LEAST, SURE, LEFT, GAMMA = 2, 0.5, 0.1, 0.25, 0.9
+#: Evidence of a tag, a role or a name that says nothing else, and of a name that says something else as well.
+PLAIN, MIXED = 0.8, 0.4
 DEEPEST = 512  # elements nested deeper count as part of the one at this depth, as in browsers
 # fixed values: HTML's element kinds
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-SKIP = frozenset("script style head nav footer aside form noscript template iframe svg button select textarea dialog object menu".split())
+#: What isn't shown as text, and what page parts the others are.
+SKIP = frozenset("script style head noscript template iframe svg button select textarea object".split())
+PARTS = frozenset("nav footer aside form dialog menu".split())
+LISTS = frozenset("ul ol table".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd li main article html body".split())
 CLOSES_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article header footer nav aside form pre blockquote main figure hr".split())
 ENDS_ITSELF = frozenset("li td th tr dt dd option".split())
 ROLES = frozenset("navigation complementary contentinfo banner search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class and id names of branches that aren't the article: STRONG ones mark any name, WEAK ones a name without other parts than these and PLACES.
+#: Parts of class and id names of branches that aren't the article. STRONG ones speak against any name, WEAK ones against a name without other parts than these, PLACES and THINGS.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets"
     " related recommended recommendations share sharing social cookie cookies consent popup modal newsletter subscribe subscription signup comment comments replies disqus pagination pager".split()
@@ -55,13 +64,36 @@ _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def named_noise(names: str) -> bool:
-    """Whether one of the class or id names marks a branch as noise."""
+THINGS = frozenset("list lists item items post posts article articles button buttons link links text body title content thread form slot unit zone row col column inner icon icons label count bar tags stories news".split())
+
+
+@lru_cache(maxsize=1 << 16)
+def named(names: str) -> float:
+    """What the class and id names of an element say against it."""
+    most = 0.0
     for name in names.split():
         parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        if not STRONG.isdisjoint(parts) or (not WEAK.isdisjoint(parts) and all(p in WEAK or p in PLACES for p in parts)):
-            return True
-    return False
+        plain = all(p in STRONG or p in WEAK or p in PLACES or p in THINGS for p in parts)
+        if not STRONG.isdisjoint(parts):
+            most = max(most, PLAIN if plain else MIXED)
+        elif not WEAK.isdisjoint(parts) and plain:
+            most = PLAIN
+    return most
+
+
+@lru_cache(maxsize=1 << 16)
+def evidence(path: str) -> float:
+    """What the last element of a path is said to be: 0 for nothing against it."""
+    above, _, sig = path.rpartition("/")
+    head, _, role = sig.partition("[")
+    tag, _, names = head.partition(".")
+    if tag in PARTS or role.rstrip("]") in ROLES or (tag == "header" and not re.search(r"(?:^|/)(?:article|main)\b", above)):
+        return PLAIN
+    return 0.0 if tag in ("html", "body", "article", "main") else named(names.replace(".", " "))
+
+
+def evident(path: str) -> bool:
+    return any(evidence(q) >= PLAIN for q in _up(path))
 
 
 class _Open:
@@ -72,10 +104,10 @@ class _Open:
 
 
 class Page:
-    """blocks: (path, whether it is noise, text) of each leaf block in page order; styles: path -> its sequences of children, of the other branches."""
+    """blocks: (path, text) of each leaf block in page order, but for what isn't shown; styles: path -> its sequences of children."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, bool, str]] = []
+        self.blocks: list[tuple[str, str]] = []
         self.styles: dict[str, set[str]] = defaultdict(set)
         self.stack: list[_Open] = []
         self.buf: list[str] = []
@@ -86,7 +118,8 @@ class Page:
         text = _SPACE.sub(" ", unescape("".join(self.buf))).strip()
         if text:
             top = next((o for o in reversed(self.stack) if not o.inline), None)
-            self.blocks.append((top.path if top else "", bool(top and top.noise), text))
+            if not (top and top.noise):
+                self.blocks.append((top.path if top else "", text))
         self.buf.clear()
 
     def _text(self, text: str) -> None:
@@ -163,7 +196,7 @@ class Page:
         if tag in INLINE:
             if tag == "br":
                 self._text(" ")
-            elif tag not in VOID and len(stack) < DEEPEST and (hidden or (names and named_noise(names))):
+            elif tag not in VOID and len(stack) < DEEPEST and (hidden or (names and named(names) >= PLAIN)):
                 stack.append(_Open(tag, "", True, True))
             return at
         self._flush()
@@ -183,11 +216,8 @@ class Page:
         if len(stack) >= DEEPEST:
             self.deeper[tag] += 1
             return at
-        inside = bool(stack) and stack[-1].noise
-        noise = inside or hidden or tag in SKIP or role in ROLES or (tag == "header" and not any(o.tag in ("article", "main") for o in stack))
-        if not noise and names and tag not in ("html", "body", "article", "main"):
-            noise = named_noise(names)
-        sig = f"{tag}.{'.'.join(sorted(names.split()))}" if names else tag
+        noise = bool(stack) and stack[-1].noise or hidden or tag in SKIP
+        sig = f"{tag}.{'.'.join(sorted(names.split()))}".replace("/", "_").replace("[", "_") if names else tag
         if role:
             sig = f"{sig}[{role}]"
         if stack and not noise and stack[-1].children[-1:] != [sig]:
@@ -196,10 +226,6 @@ class Page:
         return at
 
 
-def blocks(html: str | None) -> list[tuple[str, bool, str]]:
-    return Page(html).blocks
-
-
 def path_id(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
@@ -208,10 +234,64 @@ def wording_id(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def main_text(page: Page, content: dict[int, float] | None, shown: dict[int, tuple[float, int]] | None) -> str:
-    """content: importance of the page's wordings and paths, 1 where it has none; shown: entropy and number of presentations of its paths."""
-    own = [(p, t) for p, noise, t in page.blocks if not noise]
-    if content:
+def branches(page: Page) -> list[tuple[int, int, float, float, int, int, int, int]]:
+    """id, id of the element above (0: none), evidence, the greatest evidence from the root down to it, kind (2: prose, 1: a list or table, 0: others), text, blocks, and text of its own, of each path that has text in it or below."""
+    out: dict[str, list[int]] = {}
+    for p, t in page.blocks:
+        for k, q in enumerate(_up(p)):
+            x = out.setdefault(q, [0, 0, 0])
+            x[0] += len(t)
+            x[1] += 1
+            x[2] += len(t) if k == 0 else 0
+    at = [(q, q.rpartition("/")) for q in sorted(out)]
+    kind = lambda tag: 2 if tag in PROSE else 1 if tag in LISTS else 0
+    return [(path_id(q), path_id(up) if slash else 0, evidence(q), max(evidence(x) for x in _up(q)), kind(re.match(r"\w*", last)[0]), *out[q]) for q, (up, slash, last) in at]
+
+
+def blocks(html: str | None) -> list[tuple[str, str]]:
+    return Page(html).blocks
+
+
+def template(nodes: list[dict], m: int, main: dict) -> list[int]:
+    """Ids of the branches of one layout that are part of its host's template.
+
+    nodes: id, up, hint, kind; on the host's m distinct pages n that have it, their text and blocks; worth, the entropy of its presentations. main: id, own text and blocks of the host's main path.
+    """
+    by = {v["id"]: v for v in nodes}
+
+    def chain(v: dict) -> list[dict]:
+        out = [v]
+        while v["up"] in by:
+            v = by[v["up"]]
+            out.append(v)
+        return out
+
+    held = by.get(main["id"])
+    line = {v["id"] for v in chain(held)} if held else set()
+    length = main["own"] / max(1, main["blocks"])
+    low: set[int] = set()
+    for v in sorted(nodes, key=lambda v: len(chain(v))):  # parents first
+        if v["id"] in line:
+            continue
+        if v["up"] in low:
+            low.add(v["id"])
+            continue
+        hint = max(x["hint"] for x in chain(v) if x["id"] not in line)
+        beside = v["kind"] == 2 or (v["kind"] == 1 and held and v["up"] == held["up"])
+        if (beside and not hint) or not main["own"]:
+            continue
+        weight = min(1.0, max(v["text"] / main["own"], v["text"] / max(1, v["blocks"]) / length))
+        fixed = 0.0 if beside else v["n"] / m * (1 - v["worth"]) * (1 - 1 / m)
+        if (weight + (1 - weight) * (1 - fixed)) * (1 - hint) < LEAST:
+            low.add(v["id"])
+    return sorted(low)
+
+
+def main_text(page: Page, cut: set[int], content: dict[int, float] | None, shown: dict[int, tuple[float, int]] | None) -> str:
+    """cut: ids of the template's branches; content: importance of the page's wordings and paths, 1 where it has none; shown: entropy and number of presentations of its paths."""
+    gone = {p for p in {p for p, _ in page.blocks} if any(path_id(q) in cut for q in _up(p))} if cut else ()
+    own = [(p, t) for p, t in page.blocks if p not in gone]
+    if own and content:
         worth = [content.get(wording_id(p, t), 1.0) for p, t in own]
         weight: dict[str, float] = defaultdict(float)
         for (p, t), w in zip(own, worth):
@@ -252,8 +332,8 @@ def low_branches(paths, content: dict[int, float], shown: dict[int, tuple[float,
     return low
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars. Without names, tags, roles and names are no evidence."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
     sited = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("content"))
 
@@ -262,38 +342,61 @@ def extract(pages: DataFrame) -> DataFrame:
             rows = []
             for h in texts:
                 p = Page(h)
-                own = [(path_id(q), wording_id(q, t)) for q, noise, t in p.blocks if not noise]
+                own = [(path_id(q), wording_id(q, t)) for q, t in p.blocks if not (names and evident(q))]
                 key = path_id(",".join(str(w) for _, w in own))
                 shown = [(path_id(q), path_id(";".join(sorted(s)))) for q, s in p.styles.items()]
                 distinct = sorted(set(own))
-                rows.append((key, [x[0] for x in distinct], [x[1] for x in distinct], [x[0] for x in shown], [x[1] for x in shown]))
+                nodes = branches(p)
+                layout = path_id(",".join(str(v[0]) for v in nodes))
+                row = [key, layout, [x[0] for x in distinct], [x[1] for x in distinct], [x[0] for x in shown], [x[1] for x in shown]]
+                rows.append((*row, *([v[k] for v in nodes] for k in range(8))))
             return None, list(zip(*rows))
 
         return work
 
+    def decide():
+        def work(rows):
+            return None, [[template([{**v, "hint": v["hint"] if names else 0.0} for v in r["nodes"]], r["m"], r["main"]) for r in rows]]
+
+        return work
+
     with Scratch(pages.sparkSession, "style-tree") as tmp:
-        made = mapped(sited, parse, "page long, path array<long>, wording array<long>, shown array<long>, style array<long>", ["host", "content"], "html")
+        shape = "page long, layout long, path array<long>, wording array<long>, shown array<long>, style array<long>, id array<long>, up array<long>, hint array<float>, chain array<float>, kind array<int>, text array<int>, blocks array<int>, own array<int>"
+        made = mapped(sited, parse, shape, ["host", "content"], "html")
         parsed = tmp.written(made.dropDuplicates(["host", "content"]), "dom")
         dom = tmp.written(parsed.dropDuplicates(["host", "page"]), "pages")
+        hosts = tmp.written(dom.groupBy("host").agg(F.count("*").alias("m")), "hosts")
         # m comes in when there is a row per path or wording
-        total = tmp.written(dom.groupBy("host").agg(F.count("*").alias("m")).where(f"m >= {PAGES}"), "hosts")
+        total = hosts.where(f"m >= {PAGES}")
+        styles = dom.select("host", F.explode(F.arrays_zip("shown", "style")).alias("x")).groupBy("host", "x.shown", "x.style").agg(F.count("*").alias("c"))
+        c, n = F.col("c"), F.col("n")
+        # -sum(c/n * log(c/n)) / log(n) = (log(n) - sum(c * log(c)) / n) / log(n)
+        entropy = styles.groupBy("host", F.col("shown").alias("id")).agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("s"), F.count("*").cast("int").alias("l"))
+        entropy = tmp.written(entropy.select("host", "id", F.when(n > 1, 1 - F.col("s") / n / F.log(n)).otherwise(1.0).alias("worth"), "l", F.when(n > 1, 1 - F.col("s") / n / F.log(n)).otherwise(0.0).alias("varied")), "entropy")
+        # the template: sums per host and path, decisions per host and layout
+        part = dom.select("host", F.explode(F.arrays_zip("id", "chain", "text", "blocks", "own")).alias("x")).groupBy("host", "x.id", "x.chain").agg(F.count("*").alias("n"), *[F.sum(f"x.{k}").alias(k) for k in ("text", "blocks", "own")])
+        part = tmp.written(part, "paths")
+        heavy = F.col("own") * (1 - F.col("chain").cast("double")) if names else F.col("own")
+        main = part.groupBy("host").agg(F.max_by(F.struct("id", "own", "blocks"), F.struct(heavy.alias("heavy"), F.col("id").alias("id"))).alias("main"))
+        layouts = parsed.groupBy("host", "layout").agg(F.first(F.arrays_zip("id", "up", "hint", "kind")).alias("x")).select("host", "layout", F.explode("x").alias("x")).select("host", "layout", "x.*")
+        node = layouts.join(part.drop("chain"), ["host", "id"]).join(entropy.select("host", "id", "varied"), ["host", "id"], "left").withColumn("worth", F.coalesce("varied", F.lit(0.0)))
+        node = node.groupBy("host", "layout").agg(F.collect_list(F.struct("id", "up", "hint", "kind", "n", "text", "blocks", "worth")).alias("nodes")).join(hosts, "host").join(main, "host")
+        low = tmp.written(mapped(node.select("host", "layout", F.struct("nodes", "m", "main").alias("r")), decide, "low array<long>", ["host", "layout"], "r").where("size(low) > 0"), "template")
+        # repeated wordings in what isn't evident boilerplate
         count = dom.select("host", F.explode(F.arrays_zip("path", "wording")).alias("x")).groupBy("host", "x.path", "x.wording").agg(F.count("*").alias("c"))
         count = tmp.written(count, "wordings")
-        node = count.groupBy("host", F.col("path").alias("id")).agg(F.avg(F.log("c")).alias("spread")).where("spread > 0")
-        both = node.unionByName(count.where("c > 1").select("host", F.col("wording").alias("id"), F.log("c").alias("spread")))
+        spread = count.groupBy("host", F.col("path").alias("id")).agg(F.avg(F.log("c")).alias("spread")).where("spread > 0")
+        both = spread.unionByName(count.where("c > 1").select("host", F.col("wording").alias("id"), F.log("c").alias("spread")))
         content = tmp.written(both.join(total, "host").select("host", "id", (1 - F.col("spread") / F.log("m")).alias("worth")), "content")
         ids = F.explode(F.array_distinct(F.concat("path", "wording"))).alias("id")
         met = parsed.select("host", "content", ids).join(content.where(F.col("worth") < LEAST), ["host", "id"], "left_semi").select("host", "content").distinct()
         met = tmp.written(met, "met")  # the pages that have something of low importance
-        parsed = parsed.join(met, ["host", "content"], "left_semi")
-        values = parsed.select("host", "content", ids).join(content, ["host", "id"]).select("host", "content", F.struct("id", F.col("worth"), F.lit(0).alias("l")).alias("v"))
-        styles = dom.select("host", F.explode(F.arrays_zip("shown", "style")).alias("x")).groupBy("host", "x.shown", "x.style").agg(F.count("*").alias("c"))
-        c, n = F.col("c"), F.col("n")
-        # -sum(c/n * log(c/n)) / log(n) = (log(n) - sum(c * log(c)) / n) / log(n)
-        entropy = styles.groupBy("host", F.col("shown").alias("id")).agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("s"), F.count("*").cast("int").alias("l"))
-        entropy = entropy.select("host", "id", F.when(n > 1, 1 - F.col("s") / n / F.log(n)).otherwise(1.0).alias("worth"), "l")
-        shown = parsed.select("host", "content", F.explode("shown").alias("id")).join(entropy, ["host", "id"]).select("host", "content", F.struct("id", "worth", "l").alias("v"))
-        tree = written(values.unionByName(shown).groupBy("host", "content").agg(F.collect_list("v").alias("tree")), "trees")
+        repeated = parsed.join(met, ["host", "content"], "left_semi")
+        values = repeated.select("host", "content", ids).join(content, ["host", "id"]).select("host", "content", F.struct("id", F.col("worth"), F.lit(0).alias("l")).alias("v"))
+        shown = repeated.select("host", "content", F.explode("shown").alias("id")).join(entropy, ["host", "id"]).select("host", "content", F.struct("id", "worth", "l").alias("v"))
+        tree = values.unionByName(shown).groupBy("host", "content").agg(F.collect_list("v").alias("tree"))
+        plain = parsed.select("host", "content", "layout").join(low, ["host", "layout"]).select("host", "content", "low")
+        tree = written(plain.join(tree, ["host", "content"], "full_outer"), "trees")
 
     def cut():
         def work(rows):
@@ -301,11 +404,11 @@ def extract(pages: DataFrame) -> DataFrame:
             for r in rows:
                 tree = r["tree"] or []
                 content = {v["id"]: v["worth"] for v in tree if not v["l"]}
-                out.append(main_text(Page(r["html"]), content, {v["id"]: (v["worth"], v["l"]) for v in tree if v["l"]}))
+                out.append(main_text(Page(r["html"]), set(r["low"] or ()), content, {v["id"]: (v["worth"], v["l"]) for v in tree if v["l"]}))
             return None, [out, [len(t) for t in out]]
 
         return work
 
     # one kind of join at every size
-    page = sited.join(tree.hint("merge"), ["host", "content"], "left").select("page_id", "url", F.struct("html", "tree").alias("page"))
+    page = sited.join(tree.hint("merge"), ["host", "content"], "left").select("page_id", "url", F.struct("html", "low", "tree").alias("page"))
     return mapped(page, cut, "text string, n_chars long", ["page_id", "url"], "page")
