@@ -49,7 +49,7 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd
 CLOSES_P = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article header footer nav aside form pre blockquote main figure hr".split())
 ENDS_ITSELF = frozenset("li td th tr dt dd option".split())
 ROLES = frozenset("navigation complementary contentinfo banner search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class and id names of branches that aren't the article. STRONG ones speak against any name, WEAK ones against a name without other parts than these, PLACES and THINGS.
+#: Parts of class and id names of branches that aren't the article. STRONG ones speak against any name, and plainly if its other parts are these, PLACES or THINGS; WEAK ones against a name without other parts than these and PLACES.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets"
     " related recommended recommendations share sharing social cookie cookies consent popup modal newsletter subscribe subscription signup comment comments replies disqus pagination pager".split()
@@ -73,10 +73,9 @@ def named(names: str) -> float:
     most = 0.0
     for name in names.split():
         parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        plain = all(p in STRONG or p in WEAK or p in PLACES or p in THINGS for p in parts)
         if not STRONG.isdisjoint(parts):
-            most = max(most, PLAIN if plain else MIXED)
-        elif not WEAK.isdisjoint(parts) and plain:
+            most = max(most, PLAIN if all(p in STRONG or p in WEAK or p in PLACES or p in THINGS for p in parts) else MIXED)
+        elif not WEAK.isdisjoint(parts) and all(p in WEAK or p in PLACES for p in parts):
             most = PLAIN
     return most
 
