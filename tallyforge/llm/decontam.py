@@ -136,7 +136,7 @@ def step(length: int) -> int:
 def word_bits(h: np.ndarray) -> np.ndarray:
     """(words, BITS) of 0 and 1: the word's hash, mixed anew for each 64 bits."""
     both = np.stack([mix(h ^ U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(BITS // 64)], axis=1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(h), BITS // 8), axis=1)
+    return np.unpackbits(both.view(np.uint8)).reshape(len(h), BITS)
 
 
 class Sums:
@@ -144,12 +144,13 @@ class Sums:
 
     def __init__(self, h: np.ndarray):
         self.s = np.zeros((len(h) + 1, BITS), np.int16)
-        np.cumsum(word_bits(h), axis=0, dtype=np.int16, out=self.s[1:])
+        self.s[1:] = word_bits(h)
+        np.cumsum(self.s, axis=0, out=self.s)
 
     def fingerprints(self, n: int, step: int = 1) -> np.ndarray:
         """(windows, BITS / 64) of 64 bits, for every step-th window: a bit is set if more than half of the window's words have it."""
         more = (self.s[n::step] - self.s[:-n:step]) > n // 2
-        return np.packbits(more, axis=1).view(U).reshape(-1, BITS // 64)
+        return np.packbits(more).view(U).reshape(-1, BITS // 64)
 
 
 _CUTS = [(round(k * BITS / BLOCKS), round((k + 1) * BITS / BLOCKS)) for k in range(BLOCKS)]
@@ -181,7 +182,7 @@ class Block:
         self.owner = owner[order]
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
-        self.mask = U((1 << max(16, len(keys).bit_length() + 5)) - 1)
+        self.mask = U((1 << max(16, len(keys).bit_length() + 3)) - 1)
         self.table = np.zeros(int(self.mask) + 1, bool)
         self.table[mix(self.keys) & self.mask if width > 26 else self.keys & self.mask] = True
         self.mixed = width > 26
