@@ -92,3 +92,15 @@ def review_rows(occ: DataFrame, images: DataFrame, relations: DataFrame, choices
 def image_places(batches: DataFrame) -> DataFrame:
     """(batch, images) -> the place of each image in its batch's list."""
     return batches.select("batch", F.posexplode("images").alias("pos", "image"))
+
+
+def variant_audit(variants: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """(roi, n, text, weight) -> per bucket of features the regions, and those whose first variant, or whose best of the first two, isn't the final text (the one of the greatest weight).
+
+    features: aggregates over a region's variants, which make the buckets.
+    """
+    first_two = F.when(F.col("_k") <= 2, F.col("weight"))
+    x = variants.withColumn("_k", F.row_number().over(Window.partitionBy("roi").orderBy("n")))
+    a = x.groupBy("roi").agg(F.max_by("text", "weight").alias("_final"), F.min_by("text", "n").alias("_one"), F.max_by("text", first_two).alias("_two"), *[c.alias(k) for k, c in features.items()])
+    wrong = lambda c, n: F.count(F.when(~F.col(c).eqNullSafe(F.col("_final")), 1)).alias(n)
+    return a.groupBy(*features).agg(F.count("*").alias("rois"), wrong("_one", "v1_mismatches"), wrong("_two", "v12_mismatches"))
