@@ -5,6 +5,7 @@ close to each other share a block, and one of over PIECE words is read in overla
 as a zstandard raw dictionary; templates are ranked by the bytes they save, and each that saves any (of the long ones, a share of its own size) is
 aligned with the block. A winner is confirmed by its exact wording: the words that differ within the stretch it covers, and none of its key words
 may be among them. Of winners that overlap, that with the smallest share of differing words stays (ties: the longer one, the one that saves more, then by name).
+Winners of one licence that follow each other as the parts of its notice do, NEXT words apart at most, are one occurrence. Tags (SPDX-License-Identifier) are notices too.
 Null and empty texts have no blocks; texts are judged whole however long; each occurrence and each repeated row is reported; extra columns are ignored;
 an empty table gives none.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tallyforge.llm.text import mapped
 
-SHORT, PIECE, OVERLAP, LEAST_SAVED = 40, 900, 450, 0.3
+SHORT, PIECE, OVERLAP, LEAST_SAVED, NEXT = 40, 900, 450, 0.3, 15
 #: Words before the first cue, after the last one, and between cues of one block.
 NARROW, WIDE = (20, 40, 10), (40, 140, 120)
 # fixed values: notices of public licences and, where they are short, their whole texts; words in [] name the licence and must be there as they are
@@ -58,12 +59,18 @@ NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC [BY-NC] [4.0].", "This work is licensed under a Creative Commons [Attribution-NonCommercial] [4.0] International License."],
     "CC0-1.0": ["To the extent possible under law, the author has [waived] all copyright and related or neighboring rights to this work."],
 }
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version [{}] of the License, or (at your option) any later version."
+for _name, _title, _version in (("GPL-3.0", "GNU [General] Public License", 3), ("GPL-2.0", "GNU [General] Public License", 2), ("LGPL-3.0", "GNU [Lesser] General Public License", 3), ("AGPL-3.0", "GNU [Affero] General Public License", 3)):
+    NOTICES[_name].append(_FREE.format(_title, _version))
+#: The forms of a licence's name in tags.
+TAGS = {k: [k, f"{k}-only", f"{k}-or-later"] if "GPL" in k else [k] for k in NOTICES}
 CUE = re.compile(r"(?i)licen[sc]e|redistribution and use|copyright|permission is|permission to use|public domain|source code form|as-is")
 _WORD = re.compile(r"[\w.-]*\w")
 
 
 class Template:
-    def __init__(self, name: str, notice: str, zstandard):
+    def __init__(self, name: str, part: int, notice: str, zstandard):
+        self.part = part
         text = re.sub(r"\[([\w.-]+)\]", r"\1", notice)
         self.name, self.words = name, _WORD.findall(text.lower())
         self.key = set(_WORD.findall(" ".join(re.findall(r"\[([\w.-]+)\]", notice)).lower()))
@@ -92,7 +99,7 @@ class Template:
 
 
 def scan(own: list[str], templates: list[Template], plain, max_differ: float) -> list[tuple]:
-    """(share of differing words, -words, -bytes saved, licence, first word, end, differing words) of what fits a block."""
+    """(share of differing words, -words, -bytes saved, licence, first word, end, differing words, part of its notice) of what fits a block."""
     raw = " ".join(own).encode("utf-8", "surrogatepass")
     alone = len(plain.compress(raw))
     ranked = sorted(((alone - len(t.compress(raw)), t) for t in templates), key=lambda x: (-x[0], x[1].name))
@@ -103,7 +110,7 @@ def scan(own: list[str], templates: list[Template], plain, max_differ: float) ->
             while at := t.align(rest):
                 if at[2] > max_differ * len(t.words):
                     break
-                found.append((at[2] / len(t.words), -len(t.words), -saved, t.name, *at))
+                found.append((at[2] / len(t.words), -len(t.words), -saved, t.name, *at, t.part))
                 rest[at[0] : at[1]] = [""] * (at[1] - at[0])  # its next occurrence
     return found
 
@@ -120,6 +127,18 @@ def winners(found: list[tuple]) -> list[tuple]:
     return out
 
 
+def whole(parts: list[tuple]) -> list[tuple]:
+    """Winners in order, with those that are further parts of the same notice joined to the one before."""
+    out: list[tuple] = []
+    for x in parts:
+        last = out[-1] if out else None
+        if last and last[3] == x[3] and 0 <= last[7] < x[7] and 0 <= x[4] - last[5] <= NEXT:
+            out[-1] = (last[0], last[1] + x[1], last[2] + x[2], x[3], last[4], x[5], last[6] + x[6], x[7])
+        else:
+            out.append(x)
+    return out
+
+
 def pieces(cues: list[int], n: int, before: int, after: int, gap: int) -> list[tuple[int, int]]:
     """Word ranges of the candidate blocks."""
     out = []
@@ -143,7 +162,9 @@ def find(docs: DataFrame, max_differ: float = 0.2) -> DataFrame:
     def make():
         import zstandard
 
-        templates = [Template(k, v, zstandard) for k, vs in NOTICES.items() for v in vs]
+        templates = [Template(k, n, v, zstandard) for k, vs in NOTICES.items() for n, v in enumerate(vs)]
+        # a tag is a notice by itself
+        templates += [Template(k, -1, f"SPDX-License-Identifier: [{tag}]", zstandard) for k, tags in TAGS.items() for tag in tags]
         plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
         scales = [(NARROW, [t for t in templates if len(t.words) <= SHORT]), (WIDE, [t for t in templates if len(t.words) > SHORT])]
 
@@ -163,8 +184,8 @@ def find(docs: DataFrame, max_differ: float = 0.2) -> DataFrame:
                 found = []
                 for around, some in scales:
                     for lo, hi in pieces(cues, len(own), *around):
-                        found += [(*x[:4], lo + x[4], lo + x[5], x[6]) for x in scan(own[lo:hi], some, plain, max_differ)]
-                for _, _, saved, name, a, _, n in winners(found):
+                        found += [(*x[:4], lo + x[4], lo + x[5], *x[6:]) for x in scan(own[lo:hi], some, plain, max_differ)]
+                for _, _, saved, name, a, _, n, _ in whole(winners(found)):
                     index.append(d)
                     rows.append((t.count("\n", 0, starts[a]), name, -saved, n, n == 0))
             return index, list(zip(*rows)) or [[]] * 5
