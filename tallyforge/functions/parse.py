@@ -106,6 +106,16 @@ def page_kind(scores: dict[str, Column]) -> Column:
     return F.when((top > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))["k"]).otherwise("unknown")
 
 
+def page_override(auto: Column, confidence: Column, warning: Column, review: Column, confirmed: Column, expected: Column) -> Column:
+    """struct<page, confidence, warning, review, source>: a confirmed pool decides, with a warning and a review if the page was taken for another; an expected type stands in for an unknown page alone."""
+    made = lambda page, conf, warn, rev, source: F.struct(page.alias("page"), conf.cast("double").alias("confidence"), warn.cast("string").alias("warning"), rev.alias("review"), F.lit(source).alias("source"))
+    conflict = (auto != "unknown") & (auto != confirmed)
+    sure = F.when(conflict, F.least(confidence, F.lit(0.5))).otherwise(F.greatest(confidence, F.lit(0.95)))
+    given = made(confirmed, sure, F.when(conflict, "confirmed_pool_conflict").otherwise(warning), conflict | review, "confirmed_pool")
+    guess = made(expected, F.lit(0.2), F.lit("expected_page_type_used"), F.lit(True), "expected_page_type")
+    return F.when(confirmed.isNotNull(), given).when((auto == "unknown") & expected.isNotNull() & (expected != "unknown"), guess).otherwise(made(auto, confidence, warning, review, "page"))
+
+
 def display_width(text: Column) -> Column:
     """Columns on a screen: two for wide characters, one for others."""
     return F.char_length(text) + F.regexp_count(text, F.lit(r"[ᄀ-ᅟ⺀-〾ぁ-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"))

@@ -259,4 +259,4 @@ def parse_levels(spark, d):
 
 
 # the other queries register themselves
-from tallyforge.plans import cards, commands, edits, entities, extras, grids, looks, scalars, sessions, transfer  # noqa: E402, F401
+from tallyforge.plans import cards, commands, edits, entities, extras, grids, looks, pictures, scalars, sessions, transfer  # noqa: E402, F401

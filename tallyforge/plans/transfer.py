@@ -90,3 +90,39 @@ def workbook_rows(spark, d):
 @query(f"""WITH {PARTS} SELECT path, row_number() OVER (PARTITION BY path ORDER BY row, i) AS pos, kind, name, quality, level, target FROM (SELECT *, unnest(range(quantity)) AS i FROM f WHERE path NOT IN (SELECT path FROM f WHERE faults <> ''))""")
 def workbook_items(spark, d):
     return workbook.inventory_items(workbook.inventory_rows(books(spark, d), _catalog(spark, d), QUALITIES))
+
+
+#: A customer is an account, and its orders are items.
+ACC = """acc AS (SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_nationkey % 2 = 0 THEN 'one' ELSE 'two' END AS version, c_name AS display, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 40 END AS current, 100 + c_nationkey AS capacity, c_custkey % 9 AS orange, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS purple, 7 AS white FROM customer),
+ it AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' THEN 'support' ELSE 'main' END AS kind, o_orderpriority AS name, 'blue' AS quality, o_orderkey % 3 + 1 AS level, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 3 + 2 END AS target FROM orders),
+ n AS (SELECT path, kind, name, quality, level, coalesce(target, level) AS target, count(*) AS quantity, min(pos) AS pos FROM it GROUP BY ALL),
+ stars AS (SELECT path, 'stars' AS sheet, CAST(row_number() OVER (PARTITION BY path ORDER BY pos) + 1 AS INT) AS row, concat_ws('|', version, display, kind, name, quality, level, target, quantity) AS cells FROM n JOIN acc USING (path))"""
+
+
+def _accounts(spark, d):
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    a = load(spark, d, "customer").select(c.cast("string").alias("account_id"), F.when(n % 2 == 0, "one").otherwise("two").alias("version"), F.col("c_name").alias("display"), F.when(c % 5 != 0, c % 40).alias("current"), (100 + n).alias("capacity"), (c % 9).alias("orange"), F.when(c % 4 != 0, n).alias("purple"), F.lit(7).alias("white"), F.lit("2024-01-02").alias("imported_at"), F.lit(3).alias("images"), F.lit("by hand").alias("note"))
+    k = F.col("o_orderkey")
+    i = load(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("account_id"), k.alias("pos"), F.when(F.col("o_orderstatus") == "F", "support").otherwise("main").alias("kind"), F.col("o_orderpriority").alias("name"), F.lit("blue").alias("quality"), (k % 3 + 1).alias("level"), F.when(k % 4 != 0, k % 3 + 2).alias("target"))
+    return a, i
+
+
+def _back(files, sheets):
+    """Every row below the headers, as read back; empty cells are left out of the text."""
+    every = None
+    for name in sheets:
+        x = workbook.sheet(files, name).where("row > 1").select("path", F.lit(name).alias("sheet"), "row", F.concat_ws("|", "cells").alias("cells"))
+        every = x if every is None else every.unionByName(x)
+    return every
+
+
+@query(f"""WITH {ACC} SELECT * FROM stars UNION ALL SELECT path, 'experience', 2, concat_ws('|', 'orange', orange) FROM acc UNION ALL SELECT path, 'experience', 3, concat_ws('|', 'purple', purple) FROM acc UNION ALL SELECT path, 'experience', 4, 'white|7' FROM acc
+ UNION ALL SELECT path, 'account', 2, concat_ws('|', 'game version', version) FROM acc UNION ALL SELECT path, 'account', 3, concat_ws('|', 'account', display) FROM acc UNION ALL SELECT path, 'account', 4, concat_ws('|', 'bag count', current) FROM acc UNION ALL SELECT path, 'account', 5, concat_ws('|', 'bag capacity', capacity) FROM acc""")
+def export_books(spark, d):
+    return _back(workbook.exports(*_accounts(spark, d)), workbook.EXPORT)
+
+
+@query(f"""WITH {ACC}, c AS (SELECT path, count(*) AS actual FROM it GROUP BY 1), x AS (SELECT acc.*, coalesce(actual, 0) AS actual FROM acc LEFT JOIN c USING (path)) SELECT * FROM stars UNION ALL SELECT path, 'experience', 2, concat_ws('|', version, display, 'orange', orange, 1000) FROM acc UNION ALL SELECT path, 'experience', 3, concat_ws('|', version, display, 'purple', purple, 500) FROM acc
+ UNION ALL SELECT path, 'audit', 2, concat_ws('|', '2024-01-02', 3, current, capacity, actual, actual - current, CASE WHEN current IS NULL THEN 'unknown' WHEN actual = current THEN 'matched' WHEN actual < current THEN 'missing' ELSE 'surplus' END, 'by hand') FROM x""")
+def audited_export_books(spark, d):
+    return _back(workbook.audited_exports(*_accounts(spark, d), {"orange": 1000, "purple": 500}), workbook.AUDITED)

@@ -54,7 +54,7 @@ def _by_header(book: zipfile.ZipFile, header: str) -> str | None:
     """The part of the first sheet whose first row has a cell of that text."""
     for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
         part = _sheet(book, s.get("name"))
-        first = next(_cells(book, part, _shared(book)), None)
+        first = next(_read_cells(book, part, _shared(book)), None)
         if first and header in [(c or "").strip() for c in first[1]]:
             return part
     return None
@@ -70,7 +70,7 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return shared
 
 
-def _cells(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+def _read_cells(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     at = 0
     for _, node in ElementTree.iterparse(book.open(part)):
         if node.tag != f"{_MAIN}row":
@@ -105,7 +105,7 @@ def rows_of(content: bytes, name: str | None, header: str | None = None) -> Iter
     if part is None:
         raise ValueError("no_such_sheet")
     try:
-        yield from _cells(book, part, shared)
+        yield from _read_cells(book, part, shared)
     except wrong as e:
         raise ValueError("broken_sheet") from e
 
@@ -217,6 +217,51 @@ def export_name(account: Column, day: Column) -> Column:
     return F.concat(F.lit("export_"), file_name(account), F.lit("_"), F.date_format(day, "yyyyMMdd"), F.lit(".xlsx"))
 
 
+#: The sheets of an account's export and their headers.
+EXPORT = {"stars": ["game version", "account", "kind", "name", "quality", "current level", "target level", "quantity"], "experience": ["type", "quantity"], "account": ["field", "value"]}
+#: The same for an export that also says how the numbers came about.
+AUDITED = {"stars": EXPORT["stars"], "experience": ["game version", "account", "type", "quantity", "experience each"], "audit": ["imported at", "images", "current count", "capacity", "actual count", "difference", "status", "note"]}
+
+
+def _cells(*columns: str | Column) -> Column:
+    return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+
+
+def _stars(accounts: DataFrame, items: DataFrame) -> DataFrame:
+    keys = ["account_id", "kind", "name", "quality", "level", "target"]
+    n = items.withColumn("target", F.coalesce("target", "level")).groupBy(*keys).agg(F.count("*").alias("quantity"), F.min("pos").alias("pos"))
+    x = n.join(accounts.select("account_id", "version", "display"), "account_id")
+    return x.select(F.col("account_id").alias("book"), F.lit("stars").alias("sheet"), "pos", _cells("version", "display", "kind", "name", "quality", "level", "target", "quantity").alias("cells"))
+
+
+def _lines(accounts: DataFrame, name: str, rows: list[Column]) -> DataFrame:
+    return accounts.select(F.col("account_id").alias("book"), F.lit(name).alias("sheet"), F.posexplode(F.array(*rows)).alias("pos", "cells")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def exports(accounts: DataFrame, items: DataFrame) -> DataFrame:
+    """(account_id, version, display, current, capacity, orange, purple, white) x (account_id, pos, kind, name, quality, level, target) -> (path, content): a workbook per account.
+
+    Identical items are one row with their quantity, in the order of the first of them; an item without a target has its level. Unknown numbers are empty cells.
+    """
+    kinds = [_cells(F.lit(k), k) for k in ("orange", "purple", "white")]
+    fields = [_cells(F.lit(n), c) for n, c in (("game version", "version"), ("account", "display"), ("bag count", "current"), ("bag capacity", "capacity"))]
+    return books(_stars(accounts, items).unionByName(_lines(accounts, "experience", kinds)).unionByName(_lines(accounts, "account", fields)), EXPORT)
+
+
+def audited_exports(accounts: DataFrame, items: DataFrame, each: dict[str, int]) -> DataFrame:
+    """The same with a sheet of the import instead of the account's fields: what was expected, what is there, and whether they agree (matched, missing, surplus, or unknown without a number).
+
+    accounts also has imported_at, images and note; each: the experience of one item of a type.
+    """
+    actual = items.groupBy("account_id").agg(F.count("*").alias("actual"))
+    a = accounts.join(actual, "account_id", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    gap = F.col("actual") - F.col("current")
+    status = F.when(gap.isNull(), "unknown").when(gap == 0, "matched").when(gap < 0, "missing").otherwise("surplus")
+    kinds = [_cells("version", "display", F.lit(k), k, F.lit(v)) for k, v in each.items()]
+    audit = [_cells("imported_at", "images", "current", "capacity", "actual", gap, status, "note")]
+    return books(_stars(a, items).unionByName(_lines(a, "experience", kinds)).unionByName(_lines(a, "audit", audit)), AUDITED)
+
+
 #: Columns of an inventory sheet, by which it is known too: the sheet to import is the first whose first row has the header of `name`.
 INVENTORY = {"kind": "kind", "name": "name", "quality": "quality", "level": "current level", "target": "target level", "quantity": "quantity"}
 _NUMBERS = {"level": (1, 60), "target": (1, 60), "quantity": (1, 2**31 - 1)}
