@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import strict
 from tallyforge.plans.registry import query
 from tallyforge.sources import workbook
-from tallyforge.sources.tables import load
+from tallyforge.sources.tables import load, written
 
 #: Each conversation as an export with planted faults; its turns are the inventory.
 CONV = """t AS (SELECT conv_id AS c, turn AS t, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, (conv_id * 7 + turn * 13) % 97 AS m FROM conversations), d AS (SELECT c FROM t GROUP BY c)"""
@@ -109,7 +109,7 @@ def _accounts(spark, d):
 
 def _back(files, sheets):
     """Every row below the headers, as read back; empty cells are left out of the text."""
-    every = None
+    files, every = written(files, "books"), None
     for name in sheets:
         x = workbook.sheet(files, name).where("row > 1").select("path", F.lit(name).alias("sheet"), "row", F.concat_ws("|", "cells").alias("cells"))
         every = x if every is None else every.unionByName(x)

@@ -27,6 +27,7 @@ from tallyforge.operators.inventory import newest
 MOST_CHANGES = 1000
 POINTS = "restore_points"
 BATCHES = "saved_batches"
+_EVERY = object()
 _POINT = "restore_point_id string, reason string, created_at string, account_revision long, version string"
 _MAP = "store_acct string, store_ver string, account_revision long"
 _PLACE = StructType([StructField("store_ver", StringType()), StructField("store_acct", StringType())])
@@ -316,15 +317,13 @@ class Workspace:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(folder)
 
-    def table(self, name: str, *account: object, revision: int | None = None) -> DataFrame:
+    def table(self, name: str, account: object = _EVERY, revision: int | None = None) -> DataFrame:
         """A table of a revision (the newest by default), as it was given. With an account only that account's folder is read; None is the account of null."""
-        if len(account) > 1:
-            account, revision = account[:1], account[1]
         state = self._state(revision)
         if name not in state.tables:
             raise ValueError(f"there is no table {name}")
-        if account:
-            return self._rows(name, state, self._account(state, account[0])[0], account[0])
+        if account is not _EVERY:
+            return self._rows(name, state, self._account(state, account)[0], account)
         schema, folder = StructType.fromJson(json.loads(state.tables[name])), f"{self.root}/data/{name}"
         if not self.fs.exists(self.path(folder)):
             return self.spark.createDataFrame([], schema)
