@@ -2,6 +2,9 @@
 
 STAGES are (name, function(spark, docs, sf_dir) -> DataFrame); all but the last return the columns of documents.
 Each is written as Parquet in the shared folder and reread as the docs of the next.
+
+Null texts have no words: quality rules reject them. Rows of a null id are judged by their texts and never take part in line dedup or near-duplicate groups; repeated rows share one fate in every stage,
+but for the groups, of which all rows of the least id stay. Ties go to the least id. Texts are read whole. Columns of any other names pass through all stages but the last; an empty table gives an empty one.
 """
 
 from __future__ import annotations
