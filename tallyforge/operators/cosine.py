@@ -129,6 +129,7 @@ def join(rows: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame
         score = cosine01(F.col("l.v"), F.col("r.v"), F.col("l.n"), F.col("r.n"))
         lo, hi = F.least("l.id", "r.id"), F.greatest("l.id", "r.id")
         pairs = written(x.where(F.col("l.bucket") == F.col("r.bucket")).select("l.bucket", lo.alias("a"), hi.alias("b"), score.alias("score")).where(F.col("score") >= least), "similar")
-        all_pairs = F.coalesce(F.sum(F.expr("rows * (rows - 1) div 2")), F.lit(0))
-        work = found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).crossJoin(sizes.agg(all_pairs.alias("pairs")))  # one row each
+        zero = F.lit(0).cast("long")
+        work = found.select("compared", zero.alias("pairs")).unionByName(sizes.select(zero.alias("compared"), F.expr("rows * (rows - 1) div 2").cast("long").alias("pairs")))
+        work = work.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("compared", "pairs")])
         return pairs, written(work, "work")
