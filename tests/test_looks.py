@@ -175,3 +175,11 @@ def test_jpeg_headers(spark, tmp_path):
     for name, (_, size) in files.items():
         assert got[name][2] == (None if size else "unreadable"), name
         assert not size or got[name][:2] == size, name
+
+
+def test_picture_similarity_on_a_whole_table(spark):
+    h = {r.vec_id: r for r in looks.picture_hashes(spark, D).collect()}
+    same = lambda a, b: 1 - bin((a ^ b) & (2**64 - 1)).count("1") / 64
+    want = {i: 0.46 * same(x.icon, y.icon) + 0.34 * same(x.name, y.name) + 0.15 * same(x.level, y.level) + 0.05 for i, x in h.items() if (y := h.get(i + 1))}
+    got = {r.vec_id: r.score for r in looks.picture_similarity(spark, D).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got) and len(got) > 100
