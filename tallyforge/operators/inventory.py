@@ -38,8 +38,8 @@ def search(items: DataFrame, text: str, kind: str | None = None, aliases: dict[s
 
 
 def catalog(items: DataFrame) -> DataFrame:
-    """Distinct names with their position: a dimension of bounded size."""
-    return items.select("name").distinct().withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
+    """Distinct names with their position (from 0), numbered by range blocks, so names may be as many as items."""
+    return numbered(items.select("name").distinct(), [F.asc("name")], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def numbered(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.inventory import numbered
+
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON catalog {"stars": [{"name", "kind", "aliases", ...}]} as rows with their place in it."""
@@ -34,8 +36,8 @@ def canonical(rows: DataFrame, aliases: DataFrame, name: str = "name") -> DataFr
 
 def positions(rows: DataFrame, ordered: DataFrame, name: str = "name") -> DataFrame:
     """Rows with the catalog place of their name; names outside of it come after all: their place is the number of ordered names."""
-    # the catalog is a dimension: one window over its distinct names, one row for their number
-    idx = ordered.select(name).distinct().withColumn("_i", (F.row_number().over(Window.orderBy(name)) - 1).cast("long"))
+    # names are numbered by range blocks; their number is one row
+    idx = numbered(ordered.select(name).distinct(), [F.asc(name)], "_i").withColumn("_i", (F.col("_i") - 1).cast("long"))
     n = ordered.agg(F.count_distinct(name).alias("_n"))
     return rows.join(idx, name, "left").join(F.broadcast(n), F.lit(True), "left").withColumn("idx", F.coalesce("_i", "_n")).drop("_i", "_n")
 
