@@ -109,11 +109,8 @@ def _accounts(spark, d):
 
 def _back(files, sheets):
     """Every row below the headers, as read back; empty cells are left out of the text."""
-    files, every = written(files, "books"), None
-    for name in sheets:
-        x = workbook.sheet(files, name).where("row > 1").select("path", F.lit(name).alias("sheet"), "row", F.concat_ws("|", "cells").alias("cells"))
-        every = x if every is None else every.unionByName(x)
-    return every
+    x = workbook.sheets(written(files, "books"), list(sheets)).where("row > 1")
+    return x.select("path", "sheet", "row", F.concat_ws("|", "cells").alias("cells"))
 
 
 @query(f"""WITH {ACC} SELECT * FROM stars UNION ALL SELECT path, 'experience', 2, concat_ws('|', 'orange', orange) FROM acc UNION ALL SELECT path, 'experience', 3, concat_ws('|', 'purple', purple) FROM acc UNION ALL SELECT path, 'experience', 4, 'white|7' FROM acc

@@ -9,11 +9,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_ROWS, MOST_COLUMNS = 1_048_576, 16_384  # of the format
 ROWS = 4096
+PIECE = 1 << 20  # of text or of bytes held before they are passed on
 _ROW = "row int, cells array<string>, fault string"
 
 
@@ -40,21 +41,27 @@ def _place(reference: str | None, before: int) -> int:
     return n - 1 if n else before + 1
 
 
-def _sheet(book: zipfile.ZipFile, name: str | None) -> str | None:
-    """The part of the named sheet (of the first one, if no name is given)."""
+def _index(book: zipfile.ZipFile) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """The targets by their ids, and (name, id) of each sheet."""
     rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-        if name is None or s.get("name") == name:
-            target = rels[s.get(_REL)]
+    return rels, [(s.get("name"), s.get(_REL)) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
+
+
+def _sheet(index: tuple[dict[str, str], list[tuple[str, str]]], name: str | None) -> str | None:
+    """The part of the named sheet (of the first one, if no name is given)."""
+    for own, key in index[1]:
+        if name is None or own == name:
+            target = index[0][key]
             return target[1:] if target.startswith("/") else f"xl/{target}"
     return None
 
 
-def _by_header(book: zipfile.ZipFile, header: str) -> str | None:
+def _by_header(book: zipfile.ZipFile, header: str, shared: list[str]) -> str | None:
     """The part of the first sheet whose first row has a cell of that text."""
-    for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-        part = _sheet(book, s.get("name"))
-        first = next(_read_cells(book, part, _shared(book)), None)
+    index = _index(book)
+    for name, _ in index[1]:
+        part = _sheet(index, name)
+        first = next(_read_cells(book, part, shared), None)
         if first and header in [(c or "").strip() for c in first[1]]:
             return part
     return None
@@ -70,11 +77,22 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return shared
 
 
+def _row_nodes(book: zipfile.ZipFile, part: str) -> Iterator[ElementTree.Element]:
+    """Small parts are parsed at once, large ones (and what stands before a fault) as they are read."""
+    if book.getinfo(part).file_size <= PIECE:
+        try:
+            yield from list(ElementTree.fromstring(book.read(part)).iter(f"{_MAIN}row"))
+            return
+        except ElementTree.ParseError:
+            pass
+    for _, node in ElementTree.iterparse(book.open(part)):
+        if node.tag == f"{_MAIN}row":
+            yield node
+
+
 def _read_cells(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     at = 0
-    for _, node in ElementTree.iterparse(book.open(part)):
-        if node.tag != f"{_MAIN}row":
-            continue
+    for node in _row_nodes(book, part):
         at, values, k = int(node.get("r") or at + 1), [], -1
         for c in node.findall(f"{_MAIN}c"):
             k = _place(c.get("r"), k)
@@ -93,46 +111,62 @@ def _read_cells(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator
             yield at, values
 
 
-def rows_of(content: bytes, name: str | None, header: str | None = None) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number, values) of a sheet's rows that have cells. A ValueError says what is wrong with the file."""
-    wrong = (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError)
+_WRONG = (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError)
+
+
+def rows_of(content: bytes, names: list[str | None], header: str | None = None) -> Iterator[tuple[str | None, int | None, list[str | None] | None, str | None]]:
+    """(sheet, row number, values, fault) of the named sheets' rows that have cells; what can't be read gives a row with its fault. The file is opened once."""
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
-        part = _sheet(book, name) if header is None else _by_header(book, header)
         shared = _shared(book)
-    except wrong as e:
-        raise ValueError("not_a_workbook") from e
-    if part is None:
-        raise ValueError("no_such_sheet")
-    try:
-        yield from _read_cells(book, part, shared)
-    except wrong as e:
-        raise ValueError("broken_sheet") from e
+        index = _index(book) if header is None else ({}, [])
+    except _WRONG:
+        yield from ((n, None, None, "not_a_workbook") for n in names)
+        return
+    for name in names:
+        try:
+            part = _sheet(index, name) if header is None else _by_header(book, header, shared)
+        except _WRONG:
+            yield name, None, None, "not_a_workbook"
+            continue
+        if part is None:
+            yield name, None, None, "no_such_sheet"
+            continue
+        try:
+            for row, values in _read_cells(book, part, shared):
+                yield name, row, values, None
+        except _WRONG:
+            yield name, None, None, "broken_sheet"
 
 
-def sheet(files: DataFrame, name: str | None = None, faults: bool = False, header: str | None = None) -> DataFrame:
-    """(path, content) -> path, row, cells of the named sheet, of the first whose first row has the header, or of the first. With faults, files that can't be read give a row with their fault instead."""
-    schema = f"path string, {_ROW}"
+_ROWS = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("fault", pa.string())])
+
+
+def sheets(files: DataFrame, names: list[str | None], faults: bool = False, header: str | None = None) -> DataFrame:
+    """(path, content) -> path, sheet (as named), row, cells of each of the named sheets, in one pass over the files; null names and header as in `sheet`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("path", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("fault", pa.string())])
+        out: list = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                out: list = []
-                try:
-                    for row, cells in rows_of(content.as_py() or b"", name, header):
-                        out.append((path, row, cells, None))
-                        if len(out) == ROWS:
-                            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, x)) for x in out], shape)
-                            out = []
-                except ValueError as e:
-                    out.append((path, None, None, str(e)))
-                yield pa.RecordBatch.from_pylist([dict(zip(shape.names, x)) for x in out], shape)
-
-    x = files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, schema)
+                for name, row, cells, fault in rows_of(content.as_py() or b"", names, header):
+                    out.append((path, name, row, cells, fault))
+                    if len(out) == ROWS:
+                        yield made()
+                        out = []
+        if out:
+            yield made()
+
+    x = files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, f"path string, sheet string, {_ROW}")
     return x if faults else x.where("fault is null").drop("fault")
 
 
+def sheet(files: DataFrame, name: str | None = None, faults: bool = False, header: str | None = None) -> DataFrame:
+    """(path, content) -> path, row, cells of the named sheet, of the first whose first row has the header, or of the first. With faults, files that can't be read give a row with their fault instead."""
+    return sheets(files, [name], faults, header).drop("sheet")
+
+
 def read(spark: SparkSession, path: str, name: str | None = None, faults: bool = False) -> DataFrame:
     """The rows of a sheet of all workbooks below a path."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)
@@ -154,6 +188,7 @@ def table(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return x.dropna(how="all", subset=list(columns))
 
 
+@lru_cache(maxsize=MOST_COLUMNS)
 def _letters(k: int) -> str:
     out = ""
     while k >= 0:
@@ -174,8 +209,12 @@ def _cell(place: str, v: str | None) -> str:
     return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", v)).replace(chr(13), "&#13;")}</t></is></c>'
 
 
-def book(sheets: dict[str, list[list[str | None]]]) -> bytes:
-    """A workbook of sheets of rows; texts that are plain numbers become numbers."""
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+
+
+@lru_cache(maxsize=64)
+def _frame(sheets: tuple[str, ...]) -> dict[str, str]:
+    """The parts of a workbook beside its sheets."""
     kind, main, rel = "http://schemas.openxmlformats.org", _MAIN[1:-1], _REL[1:].split("}")[0]
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{kind}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
@@ -185,31 +224,92 @@ def book(sheets: dict[str, list[list[str | None]]]) -> bytes:
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>",
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{kind}/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>",
     }
-    for k, (name, rows) in enumerate(sheets.items(), 1):
-        if len(rows) > MOST_ROWS or any(len(r) > MOST_COLUMNS for r in rows):
-            raise ValueError(f"sheet {name} is larger than the format allows")
-        body = "".join(f'<row r="{i}">' + "".join(_cell(f"{_letters(j)}{i}", v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
-        parts[f"xl/worksheets/sheet{k}.xml"] = f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + text)
-    return out.getvalue()
+    return {name: _XML + text for name, text in parts.items()}
+
+
+class Writer:
+    """A workbook written row by row, sheet after sheet: what is held is the archive so far and a piece of the sheet at hand. Texts that are plain numbers become numbers."""
+
+    def __init__(self, sheets: dict[str, list[str]]):
+        self.sheets, self.at, self.out = list(sheets.items()), -1, io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        for name, text in _frame(tuple(sheets)).items():
+            self.zip.writestr(name, text)
+
+    def row(self, sheet: int, cells: Sequence[str | None]) -> None:
+        """A row of a sheet (from 0), which is the one at hand or a later one."""
+        while self.at < sheet:
+            self._end()
+            self.at += 1
+            self.part, self.piece, self.held, self.rows = None, [f'{_XML}<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'], 0, 0
+            self._add(self.sheets[self.at][1])
+        self._add(cells)
+
+    def close(self) -> bytes:
+        while self.at < len(self.sheets) - 1:
+            self.row(self.at + 1, ())
+            self.piece.pop()
+        self._end()
+        self.zip.close()
+        return self.out.getvalue()
+
+    def _add(self, cells: Sequence[str | None]) -> None:
+        self.rows += 1
+        if self.rows > MOST_ROWS or len(cells) > MOST_COLUMNS:
+            raise ValueError(f"sheet {self.sheets[self.at][0]} is larger than the format allows")
+        self.piece.append(f'<row r="{self.rows}">' + "".join([_cell(f"{_letters(j)}{self.rows}", v) for j, v in enumerate(cells)]) + "</row>")
+        self.held += len(self.piece[-1])
+        if self.held > PIECE:
+            self.part = self.part or self.zip.open(self._name(), "w", force_zip64=True)
+            self.part.write("".join(self.piece).encode())
+            self.piece, self.held = [], 0
+
+    def _name(self) -> str:
+        return f"xl/worksheets/sheet{self.at + 1}.xml"
+
+    def _end(self) -> None:
+        if self.at < 0:
+            return
+        rest = "".join(self.piece) + "</sheetData></worksheet>"
+        if self.part is None:
+            self.zip.writestr(self._name(), rest)
+        else:
+            self.part.write(rest.encode())
+            self.part.close()
 
 
 def books(rows: DataFrame, sheets: dict[str, list[str]]) -> DataFrame:
     """(book, sheet, pos, cells array<string>) -> (path, content): one workbook per book, with the given sheets (name -> headers) and below them the rows in order of pos.
 
-    A book is what one user exports, so it is one group; larger ones than the format allows are refused.
+    A book is what one user exports; larger ones than the format allows are refused. Rows stream over partitions sorted by book, so a task holds the archive of one book at a time, not its rows.
     """
 
-    def make(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        content = book({n: [head, *[list(c) for c in f.loc[f["sheet"] == n, "cells"]]] for n, head in sheets.items()})
-        return pd.DataFrame({"path": [f["book"].iloc[0]], "content": [content]})
-
-    r = rows.select(F.col("book").cast("string").alias("book"), "sheet", F.col("pos").cast("long").alias("pos"), "cells").where("book is not null")
-    return r.groupBy("book").applyInPandas(make, "path string, content binary")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer, done, held = None, None, [], 0
+        shape = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), shape)], schema=shape)
+        for b in batches:
+            cells = b.column(2)
+            ends, texts = cells.offsets.to_pylist(), cells.values.to_pylist()
+            for book, sheet, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:]):
+                if book != name:
+                    if writer:
+                        done.append((name, writer.close()))
+                        held += len(done[-1][1])
+                    if held > PIECE:
+                        yield made()
+                        done, held = [], 0
+                    name, writer = book, Writer(sheets)
+                if sheet is not None:
+                    writer.row(sheet, texts[lo:hi])
+        if writer:
+            done.append((name, writer.close()))
+            yield made()
+
+    number = F.coalesce(*[F.when(F.col("sheet") == n, k) for k, n in enumerate(sheets)]) if sheets else F.lit(None).cast("int")
+    r = rows.select(F.col("book").cast("string").alias("book"), number.alias("sheet"), "cells", F.col("pos").cast("long").alias("pos")).where("book is not null")
+    r = r.repartition("book").sortWithinPartitions("book", "sheet", F.asc_nulls_last("pos"), "cells")
+    return r.select("book", "sheet", "cells").mapInArrow(make, "path string, content binary")
 
 
 def export_name(account: Column, day: Column) -> Column:

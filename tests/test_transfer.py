@@ -83,3 +83,19 @@ def test_books_come_back_as_they_were(spark):
     assert got == {("x", 1): ["head"], ("x", 2): want, ("x", 3): ["only"], ("y", 1): ["head"], ("y", 2): ["z"]} or got[("x", 2)] == [w if w != "" else None for w in want]
     assert [r.cells for r in workbook.sheet(b, 'q"uote').where("path = 'y'").collect()] == [["h"]] and workbook.sheet(b, None).count() == 0
     assert workbook.sheet(b, None, header="h").count() == 2
+
+
+def test_sheets_are_read_in_one_pass_and_written_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(workbook, "PIECE", 500)
+    rows = [(k, "s", i, [f"v{k}", str(i), "x" * 40]) for k in "ab" for i in reversed(range(60))] + [("c", "other", 0, ["lost"])]
+    b = workbook.books(spark.createDataFrame(rows, "book string, sheet string, pos int, cells array<string>"), {"s": ["head"], "t": ["none"]})
+    w = workbook.Writer({"s": ["head"], "t": ["none"]})
+    for _, _, i, cells in rows[:60]:
+        w.row(0, cells)
+        assert w.held <= 500
+    assert [r[:2] for r in workbook.rows_of(w.close(), ["s", "t"])] == [("s", k + 1) for k in range(61)] + [("t", 1)]
+    x = workbook.sheets(b, ["s", "t", "none"], True)
+    assert x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # one that writes, one that reads
+    got = {(r.path, r.sheet, r.row): r.cells for r in x.where("fault is null").collect()}
+    want = {(k, "s", i + 2): [f"v{k}", str(i), "x" * 40] for k in "ab" for i in range(60)} | {(k, "s", 1): ["head"] for k in "abc"} | {(k, "t", 1): ["none"] for k in "abc"}
+    assert got == want and x.where("fault = 'no_such_sheet' and sheet = 'none'").count() == 3
