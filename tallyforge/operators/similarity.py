@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.sources.tables import Scratch, written
 
+PART = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -30,16 +34,39 @@ def card_similarity(x: str, y: str) -> Column:
     return 0.46 * part("icon") + 0.34 * part("name") + 0.15 * part("level") + 0.05 * both
 
 
+def _scored(least: float):
+    def run(t: pa.Table) -> pa.Table:
+        right, n = t["right"].to_numpy(zero_copy_only=False).astype(bool), t["n"].to_numpy()
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        l_, r_ = np.flatnonzero(~right), np.flatnonzero(right)
+        with np.errstate(all="ignore"):
+            s = (v[l_] @ v[r_].T / np.outer(n[l_], n[r_]) + 1) / 2
+        s = np.where(np.isnan(s), 1.0, np.clip(s, 0.0, 1.0))  # as in SQL, where NaN is above all numbers
+        x, y = np.nonzero(s >= least)
+        ids = t["id"].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(l_[x])), "b": ids.take(pa.array(r_[y])), "score": s[x, y]})
+
+    return run
+
+
 def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(bucket, id, v) x (bucket, id, v) -> (a, b, score) of a score of `least` or more within equal buckets: the column a card stands in.
 
-    Norms are taken once per row; a bucket's pairs come from an equi-join, which adaptive execution splits.
+    Norms are taken once per row. Both sides of a bucket are dealt in parts of PART rows, and each pair of parts is one matrix product, so a bucket of any size is many tasks of bounded memory.
     """
-    norm = F.sqrt(dot(F.col("v"), F.col("v")))
-    l_, r_ = left.withColumn("n", norm).alias("l"), right.withColumn("n", norm).alias("r")
-    x = l_.join(r_, F.col("l.bucket") == F.col("r.bucket"))
-    score = cosine01(F.col("l.v"), F.col("r.v"), F.col("l.n"), F.col("r.n"))
-    return x.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("score")).where(F.col("score") >= least)
+    if least <= 0:
+        raise ValueError("every pair has a similarity of 0 or more")
+    v = F.col("v").cast("array<double>")
+    side = lambda x, r: x.select("bucket", F.size("v").alias("dim"), F.lit(r).alias("right"), "id", v.alias("v"), F.sqrt(dot(v, v)).alias("n"))
+    rows = side(left, False).unionByName(side(right, True)).where("bucket is not null and dim > 0 and n > 0")
+    parts = lambda r: F.ceil(F.count(F.when(F.col("right") == r, 1)) / PART).cast("int")
+    sizes = rows.groupBy("bucket", "dim").agg(parts(False).alias("of_left"), parts(True).alias("of_right")).where("of_left > 0 and of_right > 0")
+    own = lambda of: F.array(F.pmod(F.xxhash64("id"), F.col(of)).cast("int"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    x = rows.join(sizes, ["bucket", "dim"])
+    x = x.withColumn("l", F.explode(F.when(F.col("right"), every("of_left")).otherwise(own("of_left")))).withColumn("r", F.explode(F.when(F.col("right"), own("of_right")).otherwise(every("of_right"))))
+    kind = left.schema["id"].dataType.simpleString()
+    return x.select("bucket", "dim", "l", "r", "right", "id", "v", "n").groupBy("bucket", "dim", "l", "r").applyInArrow(_scored(least), f"a {kind}, b {kind}, score double")
 
 
 def greedy_match(scored: DataFrame, key: str) -> DataFrame:
