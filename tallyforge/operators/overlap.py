@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def full_rows(cells: DataFrame) -> DataFrame:
     """One row per grid row with all four columns, and its cells in column order."""
     cell = F.struct("c", "name", "level")
@@ -133,34 +138,41 @@ def unordered_pairs(images: DataFrame) -> DataFrame:
     return a.join(b, ["batch", "pool"]).where("image < other").select("batch", "image", "other")
 
 
+def _order(ids: list[int], links: list[dict]) -> tuple[list[int], bool]:
+    into, out = dict.fromkeys(ids, 0), {i: [] for i in ids}
+    for link in links:
+        out[link["image"]].append(link["after"])
+        into[link["after"]] += 1
+    free, done = [i for i in ids if not into[i]], []
+    while free:
+        i = heapq.heappop(free)
+        done.append(i)
+        for b in out[i]:
+            into[b] -= 1
+            if not into[b]:
+                heapq.heappush(free, b)
+    return (ids, True) if len(done) < len(ids) else (done, False)
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = pa.schema([("batch", pa.int64()), ("image", pa.int64()), ("pos", pa.int64()), ("conflict", pa.bool_())])
+    for b in batches:
+        out: list[list] = [[], [], [], []]
+        for batch, ids, links in zip(*(c.to_pylist() for c in b.columns)):
+            order, conflict = _order(ids, links)
+            for column, values in zip(out, ([batch] * len(ids), order, range(1, len(ids) + 1), [conflict] * len(ids))):
+                column.extend(values)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, shape)], schema=shape)
+
+
 def image_order(images: DataFrame, edges: DataFrame) -> DataFrame:
     """(batch, image), (batch, before, after) -> the place of each image, and whether its batch's edges contradict each other.
 
     Of the images that nothing left precedes, the least id is next; a batch with a cycle is in the order of ids. A batch is what a user uploads
-    at once, and its order is sequential, so each batch is one group.
+    at once, and its order is sequential, so each batch is one row; rows go to Python many at a time, as batches are many and small.
     """
-    rows = images.select("batch", "image", F.lit(None).cast("long").alias("after")).unionByName(edges.select("batch", F.col("before").alias("image"), "after"))
-
-    def order(pdf):
-        import heapq
-
-        import pandas as pd
-
-        ids = sorted(set(pdf.loc[pdf["after"].isna(), "image"]))
-        links = {(int(a), int(b)) for a, b in zip(pdf["image"], pdf["after"]) if b == b}
-        into, out = dict.fromkeys(ids, 0), {i: [] for i in ids}
-        for a, b in links:
-            out[a].append(b)
-            into[b] += 1
-        free, done = [i for i in ids if not into[i]], []
-        while free:
-            i = heapq.heappop(free)
-            done.append(i)
-            for b in out[i]:
-                into[b] -= 1
-                if not into[b]:
-                    heapq.heappush(free, b)
-        conflict = len(done) < len(ids)
-        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "image": ids if conflict else done, "pos": range(1, len(ids) + 1), "conflict": conflict})
-
-    return rows.groupBy("batch").applyInPandas(order, "batch long, image long, pos long, conflict boolean")
+    batch, image, after = (F.col(c).cast("long").alias(c) for c in ("batch", "image", "after"))
+    rows = images.select(batch, image, F.lit(None).cast("long").alias("after")).unionByName(edges.select(batch, F.col("before").cast("long").alias("image"), after))
+    ids = F.sort_array(F.collect_set(F.when(F.col("after").isNull(), F.col("image"))))
+    links = F.collect_set(F.when(F.col("after").isNotNull(), F.struct("image", "after")))
+    return rows.groupBy("batch").agg(ids.alias("ids"), links.alias("links")).mapInArrow(_orders, "batch long, image long, pos long, conflict boolean")

@@ -57,3 +57,15 @@ def test_expand_and_terms(spark):
     x = spark.createDataFrame([(1, 2), (2, 0), (3, 3)], "id long, quantity long")
     assert inventory.expand(x).count() == 5
     assert inventory.terms(" a,b；a、c", {"c": "b"}) == ["a", "b"]
+
+
+def test_image_orders_go_to_python_many_at_a_time(spark):
+    from tallyforge.operators import overlap
+
+    images = spark.createDataFrame([(b, i) for b in (1, 2, None) for i in (1, 2, 3)] + [(1, 3), (4, 9)], "batch long, image long")
+    edges = spark.createDataFrame([(1, 3, 1), (1, 3, 1), (2, 1, 2), (2, 2, 1)], "batch long, before long, after long")
+    x = overlap.image_order(images, edges)
+    assert "FlatMapGroups" not in x._jdf.queryExecution().executedPlan().toString()
+    got = {(r.batch, r.pos): (r.image, r.conflict) for r in x.collect()}
+    want = {1: ([2, 3, 1], False), 2: ([1, 2, 3], True), None: ([1, 2, 3], False), 4: ([9], False)}
+    assert got == {(b, k): (i, c) for b, (order, c) in want.items() for k, i in enumerate(order, 1)}
