@@ -2,8 +2,10 @@
 
 On the unit sphere angles obey the triangle inequality. Each bucket has pivots (rows of it, chosen by hash; they decide only how much is pruned), and a row's cell is its
 nearest pivot and a ring of RINGS to a reach of angles around it. A row within `reach` of a row of another cell must be within reach of that cell's ring, the span of angles its rows have to their pivot, and its
-angle to that pivot is at most 2 * reach above the angle to its own. So a row goes to its own cell and to the cells after it that pass both tests, and only there are cosines taken.
-Cells and their visitors are dealt in parts of PART rows, so a cell that holds a third of the rows is many tasks.
+angle to that pivot is at most 2 * reach above the angle to its own. So a row is compared with its own cell and with the cells after it that pass both tests, and only there are cosines taken.
+
+A bucket's cells stand one after another and are cut into blocks of PART rows; a cell that holds a third of the rows is many blocks. A task has two blocks, so a row is shuffled once for each block
+that pivots don't rule out, not for each cell it is compared with, and as floats: what could pass within their error is taken, and scores are of the given vectors.
 
 Rows with a null bucket, id or vector, without length, or with a component that is null or not finite have no similarity and take part in no pair; vectors of different lengths
 aren't compared. Rows of one id are rows of their own.
@@ -12,6 +14,7 @@ aren't compared. Rows of one id are rows of their own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 from tallyforge.operators.similarity import cosine01, dot
 from tallyforge.sources.tables import Scratch, written
 
-PIVOTS, PART, RINGS = 256, 2048, 4
-#: Angles are known to about 1e-8 near 0, where the arc cosine is steep.
-_SLACK = 1e-6
+PIVOTS, PART, RINGS = 256, 8192, 4
+#: Angles of floats, taken in doubles, are known to about 1e-7; those between pivots, without scaling, to 5e-4 near 0, where the arc cosine is steep.
+_SLACK, _PIVOT_SLACK = 1e-6, 1e-3
+#: So many cosines are taken at a time.
+_AT_ONCE = 1 << 22
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -31,6 +36,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _angles(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    u, p = ((m := x.astype(float)) / np.linalg.norm(m, axis=1, keepdims=True) for x in (u, p))
     return np.arccos(np.clip(u @ p.T, -1.0, 1.0))
 
 
@@ -46,38 +52,57 @@ def _homes(width: float):
     return run
 
 
-def _visits(reach: float):
-    def run(rows: pa.Table, cells: pa.Table) -> pa.Table:
-        dim, cells = rows["dim"][0].as_py(), cells.sort_by("cell")
-        a = _angles(_matrix(rows["u"], dim), _matrix(cells["u"], dim))
-        own, r = rows["cell"].to_numpy(), rows["r"].to_numpy()
-        lo, hi, cell = (cells[c].to_numpy() for c in ("lo", "hi", "cell"))
-        near = (a <= hi + reach) & (a >= lo - reach) & (a <= (r + 2 * reach)[:, None]) & (cell > own[:, None])
-        x, y = np.nonzero(near)
-        return rows.select(["bucket", "dim", "row", "u"]).take(pa.array(x)).append_column("cell", pa.array(cell[y]))
-
-    return run
-
-
-def _pairs(least: float):
-    def run(t: pa.Table) -> pa.Table:
-        dim, home = t["dim"][0].as_py(), t["home"].to_numpy(zero_copy_only=False).astype(bool)
-        u, row = _matrix(t["u"], dim), t["row"].to_numpy()
-        left, right = np.flatnonzero(home), np.flatnonzero(~home)
-        x, y = np.nonzero(u[left] @ u[right].T >= least)
-        a, b = row[left[x]], row[right[y]]
-        inside = t["inside"][0].as_py()  # own rows against own rows: each pair once
-        keep = a < b if inside else np.ones(len(a), bool)
-        n = len(left) * len(right)
-        return pa.table({"a": np.append(np.minimum(a, b)[keep], -1), "b": np.append(np.maximum(a, b)[keep], -1), "compared": np.append(np.zeros(keep.sum(), np.int64), n)})
+#: What a row of a task is: of the earlier block, of the later one (or of both, if they are one), or a pivot of the later one.
+_LEFT, _RIGHT, _PIVOT = 0, 1, 2
+
+
+def _pairs(cos: float, reach: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        dim, side, cell = t["dim"][0].as_py(), t["side"].to_numpy(), t["cell"].to_numpy()
+        u, row, r, k = _matrix(t["u"], dim), t["row"].to_numpy(), t["r"].to_numpy(), t["k"].to_numpy()
+        right, pivot = np.flatnonzero(side == _RIGHT), np.flatnonzero(side == _PIVOT)
+        right = right[np.argsort(cell[right], kind="stable")]
+        one = not (side == _LEFT).any()  # a block with itself: each pair once
+        left = right if one else np.flatnonzero(side == _LEFT)
+        ul, ur, pivot = u[left], u[right], pivot[np.argsort(k[pivot])]
+        cells, start = np.unique(cell[right], return_index=True)
+        end = np.append(start[1:], len(right))
+        lo, hi = np.minimum.reduceat(r[right], start), np.maximum.reduceat(r[right], start)
+        a = _angles(ul, u[pivot])
+        least, compared = cos - (dim + 4) * 1.2e-7, 0
+        out = lambda x, y, n: pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "compared": np.full(len(x), n)})
+        for c, at in enumerate(np.searchsorted(k[pivot], k[right[start]])):
+            near = (a[:, at] <= hi[c] + reach) & (a[:, at] >= lo[c] - reach) & (a[:, at] <= r[left] + 2 * reach)
+            if one:
+                near[end[c] :] = False
+            x, n = np.flatnonzero(near), int(end[c] - start[c])
+            for xs in np.array_split(x, max(1, len(x) * n // _AT_ONCE)):
+                i, j = np.nonzero(ul[xs] @ ur[start[c] : end[c]].T >= least)
+                i, j = xs[i], start[c] + j
+                if one:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield out(row[left[i]], row[right[j]], 0)
+            own = (x >= start[c]).sum() if one else 0
+            compared += len(x) * n - own * (own + 1) // 2
+        yield out(np.array([-1]), np.array([-1]), int(compared))
 
     return run
 
 
-def _parts(rows: DataFrame, counts: DataFrame, own: str, other: str, keys: list[str]) -> DataFrame:
-    """rows dealt into parts of their side, one copy for each part of the other side."""
-    own_parts, other_parts = (F.ceil(F.col(c) / PART).cast("int") for c in (own, other))
-    return rows.join(counts, keys).withColumn(f"{own}_part", F.pmod(F.xxhash64("row"), own_parts)).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), (other_parts - 1).cast("long"))))
+def _links(home: DataFrame, chosen: DataFrame, reach: float, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(bucket, dim, p, q): blocks that may hold rows within reach of each other, p <= q; and the pivots (bucket, dim, q, k, u) of each block."""
+    key = ["bucket", "dim"]
+    ends = home.groupBy(*key, "block", "k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    ends = tmp.written(ends.join(chosen, [*key, "k"]), "ends")
+    far = ends.select(*key, F.col("block").alias("p"), F.col("hi").alias("far"), F.col("u").alias("v"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.col("v")))))
+    some = far.join(ends.withColumnRenamed("block", "q"), key).where("p < q").withColumn("angle", angle)
+    near = F.col("angle") <= F.least(F.col("hi") + F.col("far"), 2 * F.col("far") + reach) + reach + _PIVOT_SLACK
+    some = some.where(near & (F.col("lo") <= F.col("angle") + F.col("far") + reach + _PIVOT_SLACK)).select(*key, "p", "q")
+    own = ends.select(*key, F.col("block").alias("p"), F.col("block").alias("q"))
+    return tmp.written(some.unionByName(own).distinct(), "links"), ends.select(*key, F.col("block").alias("q"), "k", "u")
 
 
 def join(rows: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +118,7 @@ def join(rows: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame
         x = rows.select("bucket", "id", v.alias("v")).where("bucket is not null and id is not null and size(v) > 0").where(F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < F.lit(math.inf)) & ~F.isnan(e)))
         x = x.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v")))).where("n > 0")
         given = tmp.written(x.withColumn("row", F.monotonically_increasing_id()), "rows")
-        unit = given.select(F.xxhash64("bucket", F.size("v")).alias("bucket"), F.size("v").alias("dim"), "row", F.transform("v", lambda e: e / F.col("n")).alias("u"))
+        unit = given.select(F.xxhash64("bucket", F.size("v")).alias("bucket"), F.size("v").alias("dim"), "row", F.transform("v", lambda e: (e / F.col("n")).cast("float")).alias("u"))
         key = ["bucket", "dim"]
         sizes = tmp.written(unit.groupBy(*key).agg(F.count("*").alias("rows")), "sizes")
         first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row"), "row"))
@@ -103,29 +128,22 @@ def join(rows: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame
         dealt = unit.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("rows")
         copies = lambda t: t.join(sizes, key).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("rows")
         by = [*key, "part"]
-        home = dealt.groupBy(*by).cogroup(copies(chosen).groupBy(*by)).applyInArrow(_homes(reach / RINGS), "bucket long, dim int, row long, u array<double>, k int, ring int, r double")
+        home = dealt.groupBy(*by).cogroup(copies(chosen).groupBy(*by)).applyInArrow(_homes(reach / RINGS), "bucket long, dim int, row long, u array<float>, k int, ring int, r double")
         # a cell's number only has to tell it apart and give the cells of a bucket an order
-        home = tmp.written(home.withColumn("cell", (F.col("k") * 100_000 + F.col("ring")).cast("long")), "homes")
-        rings = home.groupBy(*key, "cell", "k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("home_rows"))
-        rings = tmp.written(rings.join(chosen, [*key, "k"]), "rings")
-        home = home.drop("k", "ring")
-        dealt = home.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("rows")
-        guests = dealt.groupBy(*by).cogroup(copies(rings).groupBy(*by)).applyInArrow(_visits(reach), "bucket long, dim int, row long, u array<double>, cell long")
-        guests = tmp.written(guests, "guests")
-        cell = [*key, "cell"]
-        n_home = rings.select(*cell, "home_rows")
-        found = None
-        for inside, others in ((True, home.drop("r")), (False, guests)):
-            n_guest = others.groupBy(*cell).agg(F.count("*").alias("guest_rows"))
-            counts = n_home.join(n_guest, cell)
-            mine = _parts(home.drop("r"), counts, "home_rows", "guest_rows", cell).withColumn("home", F.lit(True))
-            theirs = _parts(others, counts, "guest_rows", "home_rows", cell).withColumn("home", F.lit(False))
-            both = mine.select(*cell, "home_rows_part", "guest_rows_part", "home", "row", "u").unionByName(theirs.select(*cell, "home_rows_part", "guest_rows_part", "home", "row", "u"))
-            both = both.withColumn("inside", F.lit(inside)).groupBy(*cell, "home_rows_part", "guest_rows_part").applyInArrow(_pairs(cos - 1e-9), "a long, b long, compared long")
-            found = both if found is None else found.unionByName(both)
+        home = tmp.written(home.withColumn("cell", F.col("k") * F.lit(1 << 32) + F.col("ring")), "homes")
+        cells = home.groupBy(*key, "cell").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(*key).orderBy("cell")) - F.col("n")
+        block = F.floor((F.col("before") + F.pmod(F.xxhash64("row"), F.col("n"))) / PART)
+        home = tmp.written(home.join(cells.withColumn("before", before), [*key, "cell"]).select(*key, "row", "u", "k", "cell", "r", block.alias("block")), "blocks")
+        links, pivots_of = _links(home, chosen, reach, tmp)
+        one = lambda at, side: home.withColumnRenamed("block", at).join(links if side == _RIGHT else links.where("p < q"), [*key, at]).withColumn("side", F.lit(side))
+        theirs = pivots_of.join(links, [*key, "q"]).withColumn("side", F.lit(_PIVOT))
+        none = theirs.select(*key, F.lit(-1).cast("long").alias("row"), "u", "k", F.lit(-1).cast("long").alias("cell"), F.lit(0.0).alias("r"), "p", "q", "side")
+        both = one("p", _LEFT).unionByName(one("q", _RIGHT)).unionByName(none)
+        found = both.groupBy(*key, "p", "q").applyInArrow(_pairs(cos, reach), "a long, b long, compared long")
         found = tmp.written(found, "pairs")
-        one = given.select("row", "bucket", "id", "v", "n")
-        x = found.where("a >= 0").join(one.alias("l"), F.col("a") == F.col("l.row")).join(one.alias("r"), F.col("b") == F.col("r.row"))
+        full = given.select("row", "bucket", "id", "v", "n")
+        x = found.where("a >= 0").join(full.alias("l"), F.col("a") == F.col("l.row")).join(full.alias("r"), F.col("b") == F.col("r.row"))
         score = cosine01(F.col("l.v"), F.col("r.v"), F.col("l.n"), F.col("r.n"))
         lo, hi = F.least("l.id", "r.id"), F.greatest("l.id", "r.id")
         pairs = written(x.where(F.col("l.bucket") == F.col("r.bucket")).select("l.bucket", lo.alias("a"), hi.alias("b"), score.alias("score")).where(F.col("score") >= least), "similar")
