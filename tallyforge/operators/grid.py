@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.tables import Scratch, written
+
 #: Fixed shares, which decide what counts as one row, one radius or one column.
 ROW_REACH, LEAST_ROW_REACH = 0.65, 12
 SEED_REACH, MODE_REACH, LEAST_REACH = 0.09, 0.10, 3
@@ -104,17 +106,12 @@ def column_centres(rows: DataFrame, views: DataFrame) -> DataFrame:
 def slots(rows: DataFrame, views: DataFrame) -> DataFrame:
     """image, row_no, y (the median of the slots'), slots (col, id, y): of each row and column the box nearest to the row's median radius, if it is near the column."""
     x = rows.join(column_centres(rows, views), "image").join(views.select("image", "vw"), "image")
-    x = x.withColumn("radius", middle(F.transform("members", lambda b: b.rad)))
-
-    def own(b: Column, k: Column) -> Column:
-        far = F.transform("centres", lambda c, j: F.struct(F.abs(b.x - c).alias("far"), j.alias("col")))
-        return F.struct(F.array_min(far).alias("at"), F.abs(b.rad - F.col("radius")).alias("odd"), k.alias("k"), b.id.alias("id"), b.y.alias("y"), b.rad.alias("rad"))
-
-    fits = lambda s: s.rad.between(F.col("radius") * SLOT_RADII[0], F.col("radius") * SLOT_RADII[1]) & (s["at"].far <= F.col("vw") * COLUMN_REACH)
-    x = x.withColumn("own", F.filter(F.transform("members", own), fits))
-    best = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda c: F.array_min(F.transform(F.filter("own", lambda s: s["at"].col == c), lambda s: F.struct(s.odd.alias("odd"), s.k.alias("k"), c.alias("col"), s.id.alias("id"), s.y.alias("y")))))
-    x = x.withColumn("slots", F.transform(F.filter(best, lambda s: s.isNotNull()), lambda s: F.struct(s.col.alias("col"), s.id.alias("id"), s.y.alias("y"))))
-    return x.where(F.size("slots") > 0).select("image", "row_no", middle(F.transform("slots", lambda s: s.y)).alias("y"), "slots")
+    x = x.select("image", "row_no", "centres", "vw", middle(F.transform("members", lambda b: b.rad)).alias("radius"), F.posexplode("members").alias("k", "b"))
+    near = F.array_min(F.transform("centres", lambda c, j: F.struct(F.abs(F.col("b.x") - c).alias("far"), j.alias("col"))))
+    x = x.where(F.col("b.rad").between(F.col("radius") * SLOT_RADII[0], F.col("radius") * SLOT_RADII[1])).withColumn("near", near).where(F.col("near.far") <= F.col("vw") * COLUMN_REACH)
+    best = x.groupBy("image", "row_no", F.col("near.col").alias("col")).agg(F.min(F.struct(F.abs(F.col("b.rad") - F.col("radius")).alias("odd"), "k", "b.id", "b.y")).alias("s"))
+    each = best.groupBy("image", "row_no").agg(F.sort_array(F.collect_list(F.struct("col", "s.id", "s.y"))).alias("slots"))
+    return each.select("image", "row_no", middle(F.transform("slots", lambda s: s.y)).alias("y"), "slots")
 
 
 def _on_cadence(ys: Sequence[float], ns: Sequence[int], lo: float | None, hi: float | None) -> list[int]:
@@ -182,11 +179,12 @@ def lattice(boxes: DataFrame, views: DataFrame) -> DataFrame:
     """image, row_no (from 0 among the rows kept), col, id: the boxes that make up each image's regular grid.
 
     views: image, vx, vw, vh, profile (four shares of the width), gap_lo and gap_hi (shares of the height between which row gaps lie, or null). Images without a view have no grid.
-    Rows are gathered per image for the last step alone, as (row_no, y, number of slots): a row is at least 12 high, so they are few.
+    Rows are gathered per image for the last step alone, as (row_no, y, number of slots): a row is at least 12 high, so they are few. Boxes and views are read more than once.
     """
-    s = slots(grid_rows(boxes), views)
-    key = F.col("image").cast("string").alias("key")
-    each = s.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("row_no", "y", F.size("slots").alias("n")))).alias("rows")).join(views.select("image", (F.col("vh") * F.col("gap_lo")).alias("lo"), (F.col("vh") * F.col("gap_hi")).alias("hi")), "image")
-    kept = each.select(key, "rows", "lo", "hi").mapInPandas(_regular, "key string, kept array<int>").select("key", F.posexplode("kept").alias("at", "row_no"))
-    x = s.withColumn("key", F.col("image").cast("string")).join(kept, ["key", "row_no"])
-    return x.select("image", F.col("at").alias("row_no"), F.explode("slots").alias("s")).select("image", "row_no", "s.col", "s.id")
+    with Scratch(boxes.sparkSession, "lattice") as tmp:
+        s = tmp.written(slots(tmp.written(grid_rows(boxes), "rows"), views), "slots")
+        key = F.col("image").cast("string").alias("key")
+        each = s.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("row_no", "y", F.size("slots").alias("n")))).alias("rows")).join(views.select("image", (F.col("vh") * F.col("gap_lo")).alias("lo"), (F.col("vh") * F.col("gap_hi")).alias("hi")), "image")
+        kept = each.select(key, "rows", "lo", "hi").mapInPandas(_regular, "key string, kept array<int>").select("key", F.posexplode("kept").alias("at", "row_no"))
+        x = s.withColumn("key", F.col("image").cast("string")).join(kept, ["key", "row_no"])
+        return written(x.select("image", F.col("at").alias("row_no"), F.explode("slots").alias("s")).select("image", "row_no", "s.col", "s.id"), "lattice")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import geometry, grid
 from tallyforge.plans.registry import query
-from tallyforge.sources.tables import load
+from tallyforge.sources.tables import Scratch, load
 
 PROFILE, GAPS = [0.15, 0.38, 0.62, 0.85], (0.05, 0.16)
 EVENT_BOX = """box AS (SELECT user_id AS image, event_id AS id, CAST(event_id % 4 * 110 + 72 + event_id % 13 - 6 AS INT) AS x,
@@ -36,10 +36,11 @@ def main_radius(spark, d):
 
 @query()
 def lattice_rows(spark, d):
-    boxes = grid.main_radius(event_boxes(spark, d))
     lo, hi = GAPS
-    views = boxes.select("image").distinct().select("image", F.lit(0).alias("vx"), F.lit(480).alias("vw"), F.lit(1000).alias("vh"), F.array(*map(F.lit, PROFILE)).alias("profile"), F.lit(lo).alias("gap_lo"), F.lit(hi).alias("gap_hi"))
-    return grid.lattice(boxes, views)
+    with Scratch(spark, "boxes") as tmp:
+        boxes = tmp.written(grid.main_radius(event_boxes(spark, d)), "boxes")
+        views = boxes.select("image").distinct().select("image", F.lit(0).alias("vx"), F.lit(480).alias("vw"), F.lit(1000).alias("vh"), F.array(*map(F.lit, PROFILE)).alias("profile"), F.lit(lo).alias("gap_lo"), F.lit(hi).alias("gap_hi"))
+        return grid.lattice(boxes, views)
 
 
 WIDE = "box AS (SELECT o_custkey AS image, o_orderkey AS id, CAST(o_orderkey * 7919 % 40000 AS INT) AS x, CAST(o_orderkey * 104729 % 40000 AS INT) AS y, CAST(1 + floor(o_totalprice) % 10000 AS INT) AS rad FROM orders)"
