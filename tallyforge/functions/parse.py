@@ -134,14 +134,22 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def uuid5(text: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
-    """RFC 4122 version 5 id (default namespace: URL)."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "utf-8")))
-    fourth = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+def uuid5_hash(text: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """The SHA-1 that a version 5 id is made of, in hex."""
+    return F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "utf-8")))
+
+
+def uuid5_text(h: Column) -> Column:
     part = lambda a, n: F.substring(h, a, n)
+    fourth = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), fourth, part(18, 3), F.lit("-"), part(21, 12))
 
 
+def uuid5(text: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """RFC 4122 version 5 id (default namespace: URL)."""
+    return uuid5_text(uuid5_hash(text, namespace))
+
+
 def with_defaults(record: Column, defaults: dict[str, Column]) -> Column:
     """A struct whose absent fields are filled."""
     for k, v in defaults.items():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.parse import uuid5
+from tallyforge.functions.parse import uuid5_hash, uuid5_text
 from tallyforge.sources.tables import written
 
 #: Named orders; idx is the catalog position.
@@ -17,6 +18,8 @@ ORDERS = {
     "snapshot": ["kind", "idx", "-level", "quality"],
 }
 STABLE = ["source_order", "row_index", "column_index", "instance_id"]
+#: Units of an item that stay together, and units of a task.
+RUN, TASK = 1024, 1 << 18
 
 
 def terms(text: str, aliases: dict[str, str] | None = None) -> list[str]:
@@ -91,10 +94,19 @@ def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 
 
 def instances(items: DataFrame) -> DataFrame:
-    """One row per unit: the first keeps the id, the others get the version 5 id of "id:index"."""
-    x = items.where("quantity >= 1").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("quantity").cast("int") - 1)))
-    name = F.concat(F.col("id"), F.lit(":"), F.col("copy").cast("string"))
-    return x.withColumn("id", F.when(F.col("copy") == 0, F.col("id")).otherwise(uuid5(name))).drop("quantity")
+    """One row per unit: the first keeps the id, the others get the version 5 id of "id:index".
+
+    Units are dealt in runs of RUN, so a small table of items, or one item of a large quantity, is many tasks.
+    """
+    x = items.where("quantity >= 1").withColumn("quantity", F.col("quantity").cast("int"))
+    runs = x.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("quantity") - 1) / RUN).cast("int"))).alias("_run"))
+    units = items.where("quantity >= 1").agg(F.sum(F.col("quantity").cast("long"))).first()[0] or 0
+    runs = runs.repartition(max(1, math.ceil(units / TASK)))
+    first, last = F.col("_run") * RUN, F.least(F.col("quantity") - 1, F.col("_run") * RUN + (RUN - 1))
+    each = runs.withColumn("copy", F.explode(F.sequence(first, last)))
+    # a column of its own, as what stands in a condition is taken anew each time it is named
+    each = each.withColumn("_hash", uuid5_hash(F.concat(F.col("id"), F.lit(":"), F.col("copy").cast("string"))))
+    return each.withColumn("id", F.when(F.col("copy") == 0, F.col("id")).otherwise(uuid5_text(F.col("_hash")))).drop("quantity", "_run", "_hash")
 
 
 def search_whole(items: DataFrame, text: str, aliases: DataFrame, kind: str | None = None, quality: int | None = None) -> DataFrame:
