@@ -10,7 +10,7 @@ from tallyforge.operators import carry, components, consensus, draft, geometry,
 from tallyforge.plans import adapters as A
 from tallyforge.plans.cards import HEAD, OCC, _header
 from tallyforge.plans.registry import query
-from tallyforge.sources.tables import load
+from tallyforge.sources.tables import Scratch, load, written
 
 CARDS = """base AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events),
  cards AS (SELECT user_id, k, CAST((rn - 12 * k) // 4 AS INT) AS r, CAST((rn - 12 * k) % 4 AS INT) AS c, event_id, 2 * event_id + CASE WHEN k = rn // 12 THEN 1 ELSE 0 END AS card, CASE WHEN event_id % 37 <> 0 THEN event_type END AS name,
@@ -75,11 +75,13 @@ def resolution_gaps(spark, d):
 
 
 def _regrouped(spark, d):
-    c = A.cards(spark, d)
-    rel = A.relations(c)
-    rows = rel.select("user_id", "k").distinct().select("*", F.when(F.col("k") % 3 == 0, "keep_separate").when(F.col("k") % 3 == 1, "merge").alias("action"))
-    kept = draft.resolved(c, _choices(c))
-    return kept, draft.regrouped(kept, rel, rows)
+    """What is kept and its groups; cards and relations are read several times, so they are tables for so long."""
+    with Scratch(spark, "cards") as tmp:
+        c = tmp.written(A.cards(spark, d), "cards")
+        rel = tmp.written(A.relations(c), "relations")
+        rows = rel.select("user_id", "k").distinct().select("*", F.when(F.col("k") % 3 == 0, "keep_separate").when(F.col("k") % 3 == 1, "merge").alias("action"))
+        kept = written(draft.resolved(c, _choices(c)), "kept")
+        return kept, draft.regrouped(kept, rel, rows)
 
 
 # every relation joins the two cards of one event, so a component is one card or the two of a relation that holds

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
 from tallyforge.operators import components, consensus, inventory, planning, sequence
+from tallyforge.plans import entities
 
 
 def col(df, name, key):
@@ -69,3 +70,13 @@ def test_image_orders_go_to_python_many_at_a_time(spark):
     got = {(r.batch, r.pos): (r.image, r.conflict) for r in x.collect()}
     want = {1: ([2, 3, 1], False), 2: ([1, 2, 3], True), None: ([1, 2, 3], False), 4: ([9], False)}
     assert got == {(b, k): (i, c) for b, (order, c) in want.items() for k, i in enumerate(order, 1)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_cards_are_a_table(spark):
+    kept, groups = entities._regrouped(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan_of(kept) and "Window" not in plan_of(groups)  # the cards of a user are not put in order anew for each use
+    assert kept.count() == groups.count() > 100
