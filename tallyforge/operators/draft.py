@@ -109,14 +109,16 @@ def settled(cards: DataFrame, groups: DataFrame) -> DataFrame:
     """
     legal = F.when(F.col("level").between(1, 60), F.col("level"))
     hand = F.when(F.col("manual"), F.col("quality"))
+    least, most = F.min, F.max  # one distinct value is a least that is the greatest, which takes no copy of a row for each column counted
     g = cards.join(groups, "card").groupBy("component").agg(
-        F.min("name").alias("name"), F.count_distinct("name").alias("names"), F.min(legal).alias("level"), F.count_distinct(legal).alias("levels"), F.min(hand).alias("hand"), F.count_distinct(hand).alias("hands"),
-        F.min_by(F.struct("quality"), F.struct((-F.col("conf")).alias("o"), "k", "r", "c", "card")).alias("sure"), F.min_by("card", F.struct("k", "r", "c", "card")).alias("primary"), F.count("*").alias("members"),
-    )
-    quality = F.when(F.col("hands") == 1, F.col("hand")).when(F.col("hands") == 0, F.col("sure.quality"))
-    ok = (F.col("names") == 1) & (F.col("levels") == 1) & quality.isNotNull()
+        least("name").alias("name"), most("name").alias("name2"), least(legal).alias("level"), most(legal).alias("level2"), least(hand).alias("hand"), most(hand).alias("hand2"),
+        least(F.struct((-F.col("conf")).alias("o"), "k", "r", "c", "card", "quality")).alias("sure"), least(F.struct("k", "r", "c", "card")).alias("first"), F.count("*").alias("members"),
+    ).withColumn("primary", F.col("first.card"))
+    same = lambda f: F.coalesce(F.col(f) == F.col(f"{f}2"), F.lit(False))
+    quality = F.when(same("hand"), F.col("hand")).when(F.col("hand").isNull(), F.col("sure.quality"))
+    ok = same("name") & same("level") & quality.isNotNull()
     show = lambda f: F.when(F.col("ok"), F.col(f)).alias(f)
-    x = g.withColumn("quality", quality).withColumn("ok", ok).withColumn("quality_conflict", F.col("hands") > 1)
+    x = g.withColumn("quality", quality).withColumn("ok", ok).withColumn("quality_conflict", F.col("hand").isNotNull() & ~same("hand"))
     return x.select("component", "primary", "members", "ok", "quality_conflict", show("name"), show("level"), show("quality"))
 
 

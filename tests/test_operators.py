@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import parse
-from tallyforge.operators import components, consensus, inventory, planning, sequence
+from tallyforge.operators import components, consensus, draft, inventory, planning, sequence
 from tallyforge.plans import entities
 
 
@@ -80,3 +80,19 @@ def test_kept_cards_are_a_table(spark):
     kept, groups = entities._regrouped(spark, "/root/testdata/sf0.001")
     assert "Window" not in plan_of(kept) and "Window" not in plan_of(groups)  # the cards of a user are not put in order anew for each use
     assert kept.count() == groups.count() > 100
+
+
+def test_settled_takes_one_row_per_card(spark):
+    rows = [
+        (1, 1, 0, 0, "a", 3, 1, 50, False, 1), (2, 1, 0, 1, "a", 99, 2, 60, False, 1), (3, 1, 1, 0, "a", 3, 0, 60, False, 2), (4, 1, 1, 1, "b", 3, 0, 60, False, 2),
+        (5, 0, 0, 0, None, 3, 0, 60, False, 5), (6, 2, 0, 0, "c", 4, 1, 60, True, 6), (7, 3, 0, 0, "c", 4, 2, 10, True, 6), (8, 2, 0, 0, "c", 4, 1, 60, True, 8), (9, 3, 0, 0, None, None, 2, 90, False, 8),
+        (10, 3, 0, 0, "d", 5, None, 90, False, 10), (11, 3, 0, 0, "d", 5, None, 90, False, 11), (12, 2, 9, 9, "d", 5, 3, 90, False, 11), (13, 1, 0, 0, "e", 0, 1, 50, False, 13), (14, 1, 0, 0, "f", 6, None, None, True, 14), (15, 0, 0, 0, "f", 6, 2, None, False, 14),
+    ]
+    t = spark.createDataFrame(rows, "card long, k long, r int, c int, name string, level int, quality int, conf long, manual boolean, component long")
+    got = draft.settled(t.drop("component"), t.select("card", "component"))
+    want = {
+        (1, 1, 2, True, False, "a", 3, 2), (2, 3, 2, False, False, None, None, None), (5, 5, 1, False, False, None, None, None), (6, 6, 2, False, True, None, None, None), (8, 8, 2, True, False, "c", 4, 1),
+        (10, 10, 1, False, False, None, None, None), (11, 12, 2, True, False, "d", 5, 3), (13, 13, 1, False, False, None, None, None), (14, 15, 2, True, False, "f", 6, 2),
+    }
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Expand" not in plan_of(got)
