@@ -107,8 +107,8 @@ def _short_texture(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd
 def hue_shares(hue: Column, saturation: Column, least: int = COLOURFUL) -> Column:
     """Shares of 12 hue ranges (hues 0 to 179) among the pixels of a saturation of `least` or more; zeros if there are none."""
     seen = F.filter(F.zip_with(hue, saturation, lambda h, s: F.when(s >= least, F.floor(h * HUES / HUE_RANGE))), lambda b: b.isNotNull())
-    count = lambda k: F.size(F.filter(seen, lambda b: b == k))
-    return F.transform(F.sequence(F.lit(0), F.lit(HUES - 1)), lambda k: count(k) / F.greatest(F.lit(1), F.size(seen)))
+    shares = lambda s: F.transform(F.sequence(F.lit(0), F.lit(HUES - 1)), lambda k: F.size(F.filter(s, lambda b: b == k)) / F.greatest(F.lit(1), F.size(s)))
+    return F.transform(F.array(seen), shares)[0]  # a variable of the lambda is taken once, an expression at each use
 
 
 def texture(pixels: Column, height: Column, width: Column, hues: Column | None = None) -> Column:

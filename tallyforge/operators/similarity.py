@@ -22,6 +22,12 @@ def cosine01(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when(fits, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot(a, b) / (norm_a * norm_b) + 1) / 2))).otherwise(0.0)
 
 
+def six_digits(score: Column) -> Column:
+    """F.round(score, 6) for scores within 0..1, in plain doubles but next to a tie: F.round makes a decimal of each, which is most of the work where pairs are many."""
+    m = score * 1e6
+    return F.when(F.abs(m - F.floor(m) - 0.5) < 1e-3, F.round(score, 6)).otherwise(F.rint(m) / 1e6)
+
+
 def hash_similarity(a: Column, b: Column) -> Column:
     """Share of equal bits of two 64-bit hashes."""
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
